@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def minimisers(hashes: np.ndarray, ends: np.ndarray, k: int, m: int) -> tuple[np
 
 def _steps(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of bounded text; a longer text is a piece of its own."""
-    size = pa.compute.fill_null(pa.compute.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
     for i, s in enumerate(size):
         if total and total + s > STEP_CHARS:
