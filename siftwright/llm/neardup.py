@@ -15,16 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.operators.components import connected_components
 from siftwright.session import stage
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-#: Shingles that one step of the sampler takes.
-STEP = 16384
+#: Shingles of the records that are counted together in a first pass.
+BLOCK = 4_000_000
+#: Rows that may be broadcast: 8 MB of ids.
+MOST_BROADCAST = 1_000_000
+#: Places of a sketch.
+SKETCHED = 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,18 +80,83 @@ def _shingle_batches(n: int):
         for b in batches:
             sets = [shingles_of(t, n) for t in b.column("text").to_pylist()]
             kind = pa.list_(pa.int64())
-            cols = [b.column("rid"), pa.array([s for s, _ in sets], kind), pa.array([c for _, c in sets], kind)]
-            yield pa.RecordBatch.from_arrays(cols, names=["rid", "sh", "tf"])
+            cols = [b.column("rid"), b.column("same"), pa.array([s for s, _ in sets], kind), pa.array([c for _, c in sets], kind)]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "same", "sh", "tf"])
 
     return run
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _locally_common(rare: float):
+    """Over blocks of records: the shingles in at least that share of a block's records.
+
+    What is common overall is common in some block.
+    """
+
+    def block(held: list[np.ndarray], records: int) -> pa.RecordBatch:
+        h, c = _counted(held)
+        return pa.RecordBatch.from_arrays([pa.array(h[c >= rare * records])], names=["h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, records = [], 0
+        for b in batches:
+            held.append(b.column("sh").flatten().to_numpy())
+            records += b.num_rows
+            if sum(map(len, held)) > BLOCK:
+                yield block(held, records)
+                held, records = [], 0
+        if records:
+            yield block(held, records)
+
+    return run
+
+
+def _counts_of(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = wanted.value
+        total = np.zeros(len(known), np.int64)
+        for b in batches:
+            sh = b.column("sh").flatten().to_numpy()
+            at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
+            total += np.bincount(at[known[at] == sh], minlength=len(known))
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(known[hit]), pa.array(total[hit])], names=["h", "n"])
+
+    return run
+
+
+def _all_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        h, c = np.unique(b.column("sh").flatten().to_numpy(), return_counts=True)
+        h, c = _counted([b.column("sh").flatten().to_numpy()])
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], names=["h", "n"])
 
 
+def common_shingles(sets: DataFrame, rare: float, floor: int) -> pa.Table:
+    """(h, n), by h: the shingles in at least ``floor`` records, a share of at least ``rare``, with their counts.
+
+    Two passes, of which the first finds what is common in some block of records and the second
+    counts just that, over all records. Should the first find more than a broadcast may hold, all
+    shingles are counted by one shuffle instead; the result is the same.
+    """
+    spark = sets.sparkSession
+    found = sets.select("sh").mapInArrow(_locally_common(rare), "h long").distinct().limit(MOST_BROADCAST + 1).toArrow().column("h").to_numpy()
+    if len(found) > MOST_BROADCAST:
+        counts = sets.select("sh").mapInArrow(_all_counts, "h long, n long")
+    elif len(found):
+        counts = sets.select("sh").mapInArrow(_counts_of(spark.sparkContext.broadcast(np.sort(found))), "h long, n long")
+    else:
+        return pa.table({"h": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    return counts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor).orderBy("h").toArrow()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A staged table of ids, with the hint to broadcast it where its counted rows allow that."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def weights_of(sh: np.ndarray, tf: np.ndarray, common: np.ndarray, idf: np.ndarray, top: float) -> np.ndarray:
     """(1 + ln tf) * idf; ``common`` is sorted and holds the shingles that ``idf`` knows, all others get ``top``."""
     w = np.full(len(sh), top)
@@ -103,42 +173,30 @@ def _band_batches(tables, bands: int, rows: int, seed: int):
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                sh, tf, size = b.column("sh").flatten().to_numpy(), b.column("tf").flatten().to_numpy(), pa.compute.list_value_length(b.column("sh")).to_numpy()
+                sh, tf, size = b.column("sh").flatten().to_numpy(), b.column("tf").flatten().to_numpy(), pc.list_value_length(b.column("sh")).to_numpy()
                 s = samples(sh, weights_of(sh, tf, common, idf, top), np.cumsum(size) - size, bands * rows, seed)
                 band = np.zeros((len(size), bands), np.uint64)
                 for j in range(rows):
                     band = _mix(band * _GOLD + s[:, j::rows])
                 band = _mix(band + np.arange(bands, dtype=np.uint64) * _GOLD)
-                # Four bits of each sample: enough to leave out most candidates that only chance brought together.
-                sketch = np.zeros((len(size), (bands * rows + 15) // 16), np.uint64)
-                for j in range(bands * rows):
-                    sketch[:, j // 16] |= (s[:, j] >> np.uint64(60)) << np.uint64(4 * (j % 16))
+                # Four bits of 32 samples: enough to leave out most candidates that only chance brought together.
+                sketch = np.zeros((len(size), 2), np.uint64)
+                for j in range(SKETCHED):
+                    sketch[:, j // 16] |= (s[:, j % s.shape[1]] >> np.uint64(60)) << np.uint64(4 * (j % 16))
+                each = lambda x: pa.array(np.repeat(x, bands))
                 rid = b.column("rid").to_numpy()
-                cols = [pa.array(band.view(np.int64).ravel()), pa.array(np.repeat(rid, bands)), pa.array(np.repeat(size.astype(np.int64), bands))]
-                packed = pa.array([x.tobytes() for x in sketch], pa.binary())
-                cols.append(packed.take(pa.array(np.repeat(np.arange(len(size)), bands))))
-                yield pa.RecordBatch.from_arrays(cols, names=["band", "rid", "size", "sketch"])
+                cols = [pa.array(band.view(np.int64).ravel()), each(rid), each(sketch[:, 0].view(np.int64)), each(sketch[:, 1].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["band", "rid", "s0", "s1"])
 
     return run
 
 
-def _sift(least: int):
-    """Candidates whose sketches agree often enough, once each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64) for c in ("sa", "sb"))
-            d = x ^ y
-            d |= d >> np.uint64(2)
-            d |= d >> np.uint64(1)
-            d &= np.uint64(0x1111111111111111)
-            agree = (16 - np.bitwise_count(d).astype(np.int64)).reshape(b.num_rows, -1).sum(axis=1)
-            keep = np.flatnonzero(agree >= least)
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
-
-    return run
+def _agreeing(a: str, b: str) -> Column:
+    """In how many of 16 places two packed sketches agree."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.lit(16) - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
 def _verify(tables):
@@ -175,46 +233,45 @@ class NearDuplicates:
     """
 
     def __init__(self, records: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 2, rare: float = 1e-3, even: float = 0.0, block: int = 256, seed: int = 1):
-        self.threshold, self.spark = threshold, records.sparkSession
+        self.threshold, spark = threshold, records.sparkSession
         words = F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
-        named = records.select("rid", "text").filter("rid is not null and text is not null").withColumn("same", F.sha2(words, 256))
-        self.named = stage(named, "records")
-        self.classes = self.named.groupBy("same").agg(F.min("rid").alias("rep"))
-        one = self.named.join(self.classes.select("same", F.col("rep").alias("rid")), ["same", "rid"], "left_semi").select("rid", "text")
-        self.sets = stage(one.mapInArrow(_shingle_batches(n), "rid long, sh array<long>, tf array<long>").filter("size(sh) > 0"), "shingles")
+        named = records.select("rid", "text").filter("rid is not null and text is not null").withColumn("same", F.unhex(F.md5(words)))
+        self.all_sets = stage(named.mapInArrow(_shingle_batches(n), "rid long, same binary, sh array<long>, tf array<long>").filter("size(sh) > 0"), "shingles")
+        self.classes = self.all_sets.groupBy("same").agg(F.min("rid").alias("rep"))
+        copies = stage(self.all_sets.select("rid", "same").join(self.classes, "same").filter("rid <> rep").select("rid"), "copies")
+        sets = self.all_sets.select("rid", "sh", "tf").join(small(copies), "rid", "left_anti")
 
-        total = self.sets.count()
+        total = sets.count()
         floor = max(2, math.ceil(rare * total))
-        counts = self.sets.select("sh").mapInArrow(_count_batches, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        common = counts.filter(F.col("n") >= floor).orderBy("h").toArrow() if total else pa.table({"h": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        common = common_shingles(sets, rare, floor)
         # +1: a shingle that all records have still weighs something.
-        idf = np.log((total + 1) / common.column("n").to_numpy().astype(float)) if len(common) else np.empty(0)
-        top = math.log((total + 1) / floor) if total else 1.0
-        self.tables = self.spark.sparkContext.broadcast((common.column("h").to_numpy(), np.maximum(idf, max(even * top, 1e-3)), max(top, 1e-3)))
-
-        banded = stage(self.sets.mapInArrow(_band_batches(self.tables, bands, rows, seed), "band long, rid long, size long, sketch binary"), "bands")
-        blocks = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
-        met = banded.join(blocks, "band")
-        left = met.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-        right = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        side = lambda df, x, s: df.select("band", "block", F.col("rid").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(s))
-        pairs = side(left, "a", "sa").join(side(right, "b", "sb"), ["band", "block"]).filter("a < b")
-        count = bands * rows
+        top = max(math.log((total + 1) / floor), 1e-3) if total else 1.0
+        idf = np.maximum(np.log((total + 1) / np.maximum(common.column("n").to_numpy().astype(float), 1)), max(even * top, 1e-3))
+        tables = spark.sparkContext.broadcast((common.column("h").to_numpy(), idf, top))
+
+        banded = sets.mapInArrow(_band_batches(tables, bands, rows, seed), "band long, rid long, s0 long, s1 long")
+        size = F.count("*").over(Window.partitionBy("band"))
+        met = stage(banded.withColumn("n", size).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), "bands")
+        left = met.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).drop("blocks")
+        right = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        right = right.withColumnsRenamed({"rid": "b", "s0": "t0", "s1": "t1"})
         p = threshold + (1 - threshold) / 16
-        least = max(rows, math.floor(count * p - 5 * math.sqrt(count * p * (1 - p))))
-        pad = (-count) % 16
-        candidates = pairs.select("a", "b", "sa", "sb").mapInArrow(_sift(least + pad), "a long, b long").distinct()
-        sets = self.sets
+        count = min(bands * rows, SKETCHED)
+        least = math.floor((p - 5 * math.sqrt(p * (1 - p) / count)) * SKETCHED)
+        pairs = left.withColumnRenamed("rid", "a").join(right, ["band", "block"]).filter("a < b").filter(_agreeing("s0", "t0") + _agreeing("s1", "t1") >= least)
+        candidates = stage(pairs.select("a", "b").distinct(), "candidates")
+        ids = stage(candidates.select(F.col("a").alias("rid")).unionByName(candidates.select(F.col("b").alias("rid"))).distinct(), "ids")
+        near = sets.join(small(ids), "rid", "left_semi")
         both = (
-            candidates.join(sets.select(F.col("rid").alias("a"), F.col("sh").alias("sa"), F.col("tf").alias("ta")), "a")
-            .join(sets.select(F.col("rid").alias("b"), F.col("sh").alias("sb"), F.col("tf").alias("tb")), "b")
+            candidates.join(near.select(F.col("rid").alias("a"), F.col("sh").alias("sa"), F.col("tf").alias("ta")), "a")
+            .join(near.select(F.col("rid").alias("b"), F.col("sh").alias("sb"), F.col("tf").alias("tb")), "b")
         )
-        checked = both.mapInArrow(_verify(self.tables), "a long, b long, jaccard double, weighted double")
+        checked = both.mapInArrow(_verify(tables), "a long, b long, jaccard double, weighted double")
         self.links = stage(checked.filter(F.col("weighted") >= threshold), "links")
 
     def members(self) -> DataFrame:
         """(rid, rep): the class of each record that has shingles."""
-        return self.named.join(self.classes, "same").select("rid", "rep").join(self.sets.select(F.col("rid").alias("rep")), "rep", "left_semi").select("rid", "rep")
+        return self.all_sets.select("rid", "same").join(self.classes, "same").select("rid", "rep")
 
     def groups(self) -> DataFrame:
         """(rid, rep, group_id, links): each record's class, group of linked classes, and its class's links."""

@@ -22,7 +22,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     The sampler's threshold is what a plain similarity of a half is at least worth in weights that
     differ by at most the factor of two that ``even`` allows; the exact check is on the sequences.
     """
-    found = neardup.NearDuplicates(_records(spark, sf_dir), n=3, threshold=neardup.weighted_floor(0.5, 2), bands=24, even=0.5)
+    found = neardup.NearDuplicates(_records(spark, sf_dir), n=3, threshold=neardup.weighted_floor(0.5, 2), even=0.5)
     return found.pairs(found.links.filter("jaccard >= 0.5")).select(F.col("a").alias("body_a"), F.col("b").alias("body_b"))
 
 
