@@ -179,24 +179,23 @@ def _band_batches(tables, bands: int, rows: int, seed: int):
                 for j in range(rows):
                     band = _mix(band * _GOLD + s[:, j::rows])
                 band = _mix(band + np.arange(bands, dtype=np.uint64) * _GOLD)
-                # Four bits of 32 samples: enough to leave out most candidates that only chance brought together.
-                sketch = np.zeros((len(size), 2), np.uint64)
+                # Eight bits of 32 samples: enough to leave out most candidates that only chance brought together.
+                sketch = np.zeros((len(size), SKETCHED // 8), np.uint64)
                 for j in range(SKETCHED):
-                    sketch[:, j // 16] |= (s[:, j % s.shape[1]] >> np.uint64(60)) << np.uint64(4 * (j % 16))
+                    sketch[:, j // 8] |= (s[:, j % s.shape[1]] >> np.uint64(56)) << np.uint64(8 * (j % 8))
                 each = lambda x: pa.array(np.repeat(x, bands))
-                rid = b.column("rid").to_numpy()
-                cols = [pa.array(band.view(np.int64).ravel()), each(rid), each(sketch[:, 0].view(np.int64)), each(sketch[:, 1].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["band", "rid", "s0", "s1"])
+                cols = [pa.array(band.view(np.int64).ravel()), each(b.column("rid").to_numpy()), *(each(np.ascontiguousarray(x).view(np.int64)) for x in sketch.T)]
+                yield pa.RecordBatch.from_arrays(cols, names=["band", "rid", *(f"s{i}" for i in range(len(sketch.T)))])
 
     return run
 
 
 def _agreeing(a: str, b: str) -> Column:
-    """In how many of 16 places two packed sketches agree."""
+    """In how many of 8 places two packed sketches agree."""
     x = F.col(a).bitwiseXOR(F.col(b))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.lit(16) - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    for by in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+    return F.lit(8) - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
 
 def _verify(tables):
@@ -228,8 +227,9 @@ class NearDuplicates:
     Two records of weighted similarity ``threshold`` or more agree in one of ``bands`` bands of
     ``rows`` samples with probability 1 - (1 - s ** rows) ** bands at least; a bucket of any size is
     compared whole, in salted blocks of ``block`` rows. ``even`` bounds the weights: no idf counts
-    less than that share of the greatest. Candidates whose four-bit sketches agree
-    in far fewer samples than ``threshold`` gives (by five standard deviations) are left out.
+    less than that share of the greatest. Candidates whose sketches (eight bits
+    each of 32 samples) agree in fewer places than ``threshold`` gives, less two standard deviations, are
+    left out: about one in fifty of the pairs just at the threshold, and next to none of those well above.
     """
 
     def __init__(self, records: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 2, rare: float = 1e-3, even: float = 0.0, block: int = 256, seed: int = 1):
@@ -249,16 +249,16 @@ class NearDuplicates:
         idf = np.maximum(np.log((total + 1) / np.maximum(common.column("n").to_numpy().astype(float), 1)), max(even * top, 1e-3))
         tables = spark.sparkContext.broadcast((common.column("h").to_numpy(), idf, top))
 
-        banded = sets.mapInArrow(_band_batches(tables, bands, rows, seed), "band long, rid long, s0 long, s1 long")
+        parts = range(SKETCHED // 8)
+        banded = sets.mapInArrow(_band_batches(tables, bands, rows, seed), "band long, rid long, " + ", ".join(f"s{i} long" for i in parts))
         size = F.count("*").over(Window.partitionBy("band"))
         met = stage(banded.withColumn("n", size).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), "bands")
         left = met.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).drop("blocks")
         right = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        right = right.withColumnsRenamed({"rid": "b", "s0": "t0", "s1": "t1"})
-        p = threshold + (1 - threshold) / 16
-        count = min(bands * rows, SKETCHED)
-        least = math.floor((p - 5 * math.sqrt(p * (1 - p) / count)) * SKETCHED)
-        pairs = left.withColumnRenamed("rid", "a").join(right, ["band", "block"]).filter("a < b").filter(_agreeing("s0", "t0") + _agreeing("s1", "t1") >= least)
+        right = right.withColumnsRenamed({"rid": "b", **{f"s{i}": f"t{i}" for i in parts}})
+        p = threshold + (1 - threshold) / 256
+        least = math.floor((p - 2 * math.sqrt(p * (1 - p) / min(bands * rows, SKETCHED))) * SKETCHED)
+        pairs = left.withColumnRenamed("rid", "a").join(right, ["band", "block"]).filter("a < b").filter(sum((_agreeing(f"s{i}", f"t{i}") for i in parts), F.lit(0)) >= least)
         candidates = stage(pairs.select("a", "b").distinct(), "candidates")
         ids = stage(candidates.select(F.col("a").alias("rid")).unionByName(candidates.select(F.col("b").alias("rid"))).distinct(), "ids")
         near = sets.join(small(ids), "rid", "left_semi")
