@@ -56,7 +56,8 @@ def mix(docs: DataFrame, targets: DataFrame, domain: Column, total_tokens: int |
     """(doc_id, domain, lang, source, n_tokens, uses): how often each text of ``docs(doc_id, text, lang, source)`` is used.
 
     ``targets(source, target_share, max_repeats)``; texts of other or no sources aren't used, and
-    sources without texts leave their share to the others of their domain, then of all. Null
+    sources without texts leave their share to the others of their domain, then of all. ``domain``
+    is an expression over ``source``, the one column that texts and targets have in common. Null
     languages are one language. Texts without tokens are used in no epoch. ``total_tokens``: the
     size to reach; if none is given, the most at which every source that has texts can hold its
     share. Shares can differ from their targets by one text for each leaf.
@@ -66,24 +67,30 @@ def mix(docs: DataFrame, targets: DataFrame, domain: Column, total_tokens: int |
     """
     spark = docs.sparkSession
     lang = F.coalesce("lang", F.lit("und"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", lang.alias("lang"), domain.alias("domain"), "text").filter("source is not null")
-    known = targets.select("source", "target_share", "max_repeats").filter("target_share > 0 and max_repeats > 0").dropDuplicates(["source"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", lang.alias("lang"), "text").filter("source is not null").withColumn("domain", domain)
+    known = targets.select("source", "target_share", "max_repeats").withColumn("domain", domain).filter("target_share > 0 and max_repeats > 0").dropDuplicates(["source"])
     sized = stage(with_tokens(rows.join(known.select("source"), "source", "left_semi"), "doc_id", "text", ["source", "lang", "domain"], vocabulary).filter("n_tokens > 0"), "sizes")
     leaf = ["domain", "lang", "source"]
     stats = sized.groupBy(*leaf).agg(F.sum("n_tokens").alias("avail")).limit(MOST_LEAVES + 1).collect()
     if len(stats) > MOST_LEAVES:
         raise ValueError("too many leaves: is the language or the domain a free text?")
-    share = {r.source: (r.target_share, r.max_repeats) for r in known.collect()}
+    asked = {r.source: r for r in known.collect()}
     whole: dict[str, int] = {}
     for r in stats:
         whole[r.source] = whole.get(r.source, 0) + r.avail
-    leaves = {(r.domain, r.lang, r.source): (share[r.source][0] * r.avail / whole[r.source], r.avail * share[r.source][1]) for r in stats}
-    present = sum(share[s][0] for s in whole)
+    leaves = {(r.domain, r.lang, r.source): (asked[r.source].target_share * r.avail / whole[r.source], r.avail * asked[r.source].max_repeats) for r in stats}
+    # What has a target but no texts is a leaf that can give nothing.
+    leaves |= {(r.domain, "und", s): (r.target_share, 0) for s, r in asked.items() if s not in whole}
     if total_tokens is None:
-        total_tokens = min((n * share[s][1] * present / share[s][0] for s, n in whole.items()), default=0)
+        parts: dict[str, float] = {}
+        for path, b in budgets({p: (w, 1.0 if c else 0.0) for p, (w, c) in leaves.items()}, 1.0).items():
+            parts[path[2]] = parts.get(path[2], 0.0) + b
+        total_tokens = min((n * asked[s].max_repeats / parts[s] for s, n in whole.items() if parts.get(s)), default=0)
     avail = {(r.domain, r.lang, r.source): r.avail for r in stats}
     plan = []
     for path, b in budgets(leaves, total_tokens).items():
+        if path not in avail:
+            continue
         full = int(b // avail[path])
         plan.append((*path, full, int(round(b - full * avail[path]))))
     schema = "domain string, lang string, source string, full int, rest long"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import encoding, lookalike, neardup, spans
+from siftwright.llm import encoding, lookalike, mixing, neardup, packing, pii, spans
 from siftwright.session import table
 
 
@@ -62,6 +62,52 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored(_texts(spark, sf_dir)).filter("affected").select("field_name", "row_id", "restored")
 
 
+def _previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "text_bodies").select(F.col("body_id").alias("id"), F.col("preview").alias("text"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of personal information in the previews."""
+    return pii.found(_previews(spark, sf_dir), pii.model_of(table(spark, sf_dir, "person_names"))).withColumnRenamed("id", "body_id")
+
+
+def p6_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The previews with typed placeholders in the place of personal information."""
+    return pii.replaced(_previews(spark, sf_dir), pii.model_of(table(spark, sf_dir, "person_names"))).withColumnsRenamed({"id": "body_id", "text": "preview"})
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each text, or piece of a text, for each capacity."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are, for each capacity."""
+    return packing.packing_report(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+# Where the sources of the test tables belong in the tree of weights.
+_DOMAINS = {
+    "quarantine": "mail", "user_reports": "mail", "mailing_lists": "mail", "analyst_notes": "desk", "sandbox_logs": "desk",
+    "custody_journal": "desk", "closed_cases": "desk", "partner_feed": "outside", "press_digest": "outside", "legacy_archive": "outside",
+}
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _DOMAINS.items() for x in kv]), F.col("source")), F.lit("other"))
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), domain)
+
+
+def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each text is used for each source to hold its target share of the tokens."""
+    return _mixed(spark, sf_dir)
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that were reached."""
+    return mixing.mix_report(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of words in sequences of 25 that another document has too."""
     return spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -72,7 +118,7 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_consistent, p5_found, p5_restored, p9_found, p9_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_consistent, p5_found, p5_restored, p6_found, p6_replaced, p7_packed, p7_report, p8_mixed, p8_report, p9_found, p9_share)}
 
 _WORDS = r"list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '')"
 SQL = {
