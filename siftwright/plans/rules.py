@@ -131,6 +131,12 @@ def holds(rule: Rule, fields: dict[str, Column], findings: Column) -> Column:
     return out & ~reduce(lambda a, b: a | b, each(rule.none), F.lit(False))
 
 
+def _split(r: Rule) -> tuple[Column, Column]:
+    """What a rule takes from the findings, named with the rule, and what it leaves."""
+    taken = F.filter("_found", lambda f: f["code"].isin(list(r.suppress)))
+    return F.transform(taken, lambda f: F.struct(f["code"].alias("code"), F.lit(r.id).alias("rule"))), F.filter("_found", lambda f: ~f["code"].isin(list(r.suppress)))
+
+
 def apply_rules(reports: DataFrame, rules: list[Rule], fields: dict[str, Column]) -> DataFrame:
     """``reports(report_id, findings ARRAY<STRUCT<code, severity>>, ...)`` with rules applied in order.
 
@@ -142,9 +148,9 @@ def apply_rules(reports: DataFrame, rules: list[Rule], fields: dict[str, Column]
     for r in rules:
         df = df.withColumn("_hit", holds(r, fields, F.col("_found")))
         if r.action == "suppress":
-            gone = F.filter("_found", lambda f, codes=list(r.suppress): f["code"].isin(codes))
-            df = df.withColumn("suppressed", F.when(F.col("_hit"), F.concat("suppressed", F.transform(gone, lambda f, i=r.id: F.struct(f["code"].alias("code"), F.lit(i).alias("rule"))))).otherwise(F.col("suppressed")))
-            df = df.withColumn("_found", F.when(F.col("_hit"), F.filter("_found", lambda f, codes=list(r.suppress): ~f["code"].isin(codes))).otherwise(F.col("_found")))
+            gone, kept = _split(r)
+            df = df.withColumn("suppressed", F.when(F.col("_hit"), F.concat("suppressed", gone)).otherwise(F.col("suppressed")))
+            df = df.withColumn("_found", F.when(F.col("_hit"), kept).otherwise(F.col("_found")))
         else:
             df = df.withColumn("matched", F.when(F.col("_hit"), F.concat("matched", F.array(F.struct(F.lit(f"RULE_{r.id}").alias("code"), F.lit(r.severity).alias("severity"))))).otherwise(F.col("matched")))
     return df.select("report_id", F.concat("_found", "matched").alias("findings"), F.transform("matched", lambda m: m["code"]).alias("matched"), "suppressed")
