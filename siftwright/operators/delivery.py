@@ -55,9 +55,17 @@ class DeliveryLedger:
         names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.path))]
         return max((int(n[7:]) for n in names if n.startswith("commit-")), default=0)
 
+    def _folder(self, version: int) -> str:
+        """Where a version's tables are: its marker says so."""
+        f = self._fs.open(self._path(f"{self.path}/commit-{version}"))
+        try:
+            return f"{self.path}/{f.readUTF()}"
+        finally:
+            f.close()
+
     def _read(self, name: str, schema: str) -> DataFrame:
         v = self.version()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{v}/{name}") if v else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self._folder(v)}/{name}") if v else self.spark.createDataFrame([], schema)
 
     def dictionary(self) -> DataFrame:
         return self._read("dictionary", "key string, code long, label long")
@@ -65,16 +73,29 @@ class DeliveryLedger:
     def seen(self) -> DataFrame:
         return self._read("seen", "bucket long, bits binary")
 
-    def commit(self, dictionary: DataFrame, seen: DataFrame) -> None:
-        """Write the next version whole, then make it current by one rename."""
-        v = self.version() + 1
-        dictionary.write.option("compression", "zstd").mode("overwrite").parquet(f"{self.path}/v{v}/dictionary")
-        seen.write.option("compression", "zstd").mode("overwrite").parquet(f"{self.path}/v{v}/seen")
-        flag = self._path(f"{self.path}/.commit-{uuid.uuid4().hex}")
-        self._fs.create(flag, True).close()
-        if not self._fs.rename(flag, self._path(f"{self.path}/commit-{v}")):
-            self._fs.delete(flag, False)
-            raise RuntimeError(f"version {v} was committed by another writer")
+    def commit(self, dictionary: DataFrame, seen: DataFrame, base: int | None = None) -> None:
+        """Write a version whole in a folder of its own, then make it current by one rename.
+
+        ``base`` is the version that the tables were made from; if another writer committed since,
+        the rename finds its marker in the way, and nothing of either is lost.
+        """
+        v = (self.version() if base is None else base) + 1
+        folder = f"data-{v}-{uuid.uuid4().hex[:12]}"
+        dictionary.write.option("compression", "zstd").parquet(f"{self.path}/{folder}/dictionary")
+        seen.write.option("compression", "zstd").parquet(f"{self.path}/{folder}/seen")
+        fresh = self._path(f"{self.path}/.marker-{uuid.uuid4().hex}")
+        out = self._fs.create(fresh, True)
+        out.writeUTF(folder)
+        out.close()
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else self._fs.getUri())
+        plain = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(fresh, self._path(f"{self.path}/commit-{v}"), plain)
+        except Exception as e:
+            self._fs.delete(fresh, False)
+            self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+            raise RuntimeError(f"version {v} was committed by another writer") from e
 
 
 def _bucket(code: Column) -> Column:
@@ -97,16 +118,16 @@ def ingest(batch: DataFrame, id_col: str, identifiers: list[Column], order: list
     this batch or of earlier ones. Of a message not seen before, the row least by ``order`` and
     then id is kept; all others are redeliveries. Null identifiers identify nothing: a row without
     any is its own message. Nulls in ``order`` come last. Ids must be unique in the batch; rows
-    repeated whole under one id count once. An empty batch gives an empty result. Hot messages are
+    repeated whole under one id count once, and rows without an id are left out. An empty batch gives an empty result. Hot messages are
     reduced before shuffles (least row by partial aggregation, distinct identifier pairs), and what
     remains is joined on the unique id. The ledger is committed before the result is returned.
     """
     key_cols = [f"_k{i}" for i in range(len(identifiers))]
     rank = F.struct(*[x for i, o in enumerate(order) for x in (o.isNull().alias(f"n{i}"), o.alias(f"o{i}"))], F.col(id_col).alias("i"))
-    rows = batch.select(F.col(id_col).alias("_id"), rank.alias("_rank"), *[F.concat(F.lit(f"{i}:"), c).alias(k) for i, (k, c) in enumerate(zip(key_cols, identifiers, strict=True))]).dropDuplicates(["_id"])
+    rows = batch.select(F.col(id_col).alias("_id"), rank.alias("_rank"), *[F.concat(F.lit(f"{i}:"), c).alias(k) for i, (k, c) in enumerate(zip(key_cols, identifiers, strict=True))]).filter("_id is not null").dropDuplicates(["_id"])
 
     keys = rows.select(F.explode(F.array(*key_cols)).alias("key")).filter("key is not null").distinct()
-    old = ledger.dictionary()
+    base_version, old = ledger.version(), ledger.dictionary()
     fresh = keys.join(old, "key", "left_anti")
     shard = F.pmod(F.xxhash64("key"), F.lit(ledger.shards))
     base = old.groupBy(F.shiftright("code", RANK_BITS).alias("shard")).agg((F.max(F.col("code").bitwiseAND(F.lit((1 << RANK_BITS) - 1))) + 1).alias("base"))
@@ -161,7 +182,7 @@ def ingest(batch: DataFrame, id_col: str, identifiers: list[Column], order: list
 
     new = own.groupBy(_bucket(F.col("code")).alias("bucket")).agg(F.bitmap_construct_agg(_bit(F.col("code"))).alias("bits"))
     bits = seen.unionByName(new).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    ledger.commit(relabel(dictionary, "label").select("key", "code", "label"), bits)
+    ledger.commit(relabel(dictionary, "label").select("key", "code", "label"), bits, base_version)
     return result
 
 
