@@ -58,7 +58,7 @@ def mix(docs: DataFrame, targets: DataFrame, domain: Column, total_tokens: int |
     ``targets(source, target_share, max_repeats)``; texts of other or no sources aren't used, and
     sources without texts leave their share to the others of their domain, then of all. ``domain``
     is an expression over ``source``, the one column that texts and targets have in common. Null
-    languages are one language. Texts without tokens are used in no epoch. ``total_tokens``: the
+    languages are one language; texts without an id are left out. Texts without tokens are used in no epoch. ``total_tokens``: the
     size to reach; if none is given, the most at which every source that has texts can hold its
     share. Shares can differ from their targets by one text for each leaf.
 
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, targets: DataFrame, domain: Column, total_tokens: int |
     """
     spark = docs.sparkSession
     lang = F.coalesce("lang", F.lit("und"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", lang.alias("lang"), "text").filter("source is not null").withColumn("domain", domain)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", lang.alias("lang"), "text").filter("source is not null and doc_id is not null").withColumn("domain", domain)
     known = targets.select("source", "target_share", "max_repeats").withColumn("domain", domain).filter("target_share > 0 and max_repeats > 0").dropDuplicates(["source"])
     sized = stage(with_tokens(rows.join(known.select("source"), "source", "left_semi"), "doc_id", "text", ["source", "lang", "domain"], vocabulary).filter("n_tokens > 0"), "sizes")
     leaf = ["domain", "lang", "source"]
@@ -79,8 +79,14 @@ def mix(docs: DataFrame, targets: DataFrame, domain: Column, total_tokens: int |
     for r in stats:
         whole[r.source] = whole.get(r.source, 0) + r.avail
     leaves = {(r.domain, r.lang, r.source): (asked[r.source].target_share * r.avail / whole[r.source], r.avail * asked[r.source].max_repeats) for r in stats}
-    # What has a target but no texts is a leaf that can give nothing.
-    leaves |= {(r.domain, "und", s): (r.target_share, 0) for s, r in asked.items() if s not in whole}
+    # What has a target but no texts is leaves that can give nothing, spread like its domain's languages.
+    spoken: dict[str, dict[str, float]] = {}
+    for (d, lg, _), (weight, _) in leaves.items():
+        spoken.setdefault(d, {})[lg] = spoken.get(d, {}).get(lg, 0.0) + weight
+    for s, r in asked.items():
+        if s not in whole:
+            here = spoken.get(r.domain, {"und": 1.0})
+            leaves |= {(r.domain, lg, s): (r.target_share * x / sum(here.values()), 0) for lg, x in here.items()}
     if total_tokens is None:
         parts: dict[str, float] = {}
         for path, b in budgets({p: (w, 1.0 if c else 0.0) for p, (w, c) in leaves.items()}, 1.0).items():

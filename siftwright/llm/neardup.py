@@ -219,10 +219,12 @@ def _verify(tables):
 class NearDuplicates:
     """Classes of equal records, and the links between like ones.
 
-    ``records(rid BIGINT unique, text)``. Null texts and texts of fewer than ``n`` words have no
+    ``records(rid BIGINT unique, text)``; a row repeated whole counts once in all results. Null texts and texts of fewer than ``n`` words have no
     shingles and are in no class. Records with equal words are one class, whose least id
     represents it; only representatives are sampled, so copies never meet in a bucket. ``links``
-    has every pair of representatives found with weighted similarity ``threshold`` or more.
+    has every pair of representatives found with weighted similarity ``threshold`` or more that also
+    have at least the plain similarity ``jaccard`` of their sets. ``threshold`` is by default what
+    that is at least worth in weights, so that the exact check decides.
 
     Two records of weighted similarity ``threshold`` or more agree in one of ``bands`` bands of
     ``rows`` samples with probability 1 - (1 - s ** rows) ** bands at least; a bucket of any size is
@@ -232,8 +234,9 @@ class NearDuplicates:
     left out: about one in fifty of the pairs just at the threshold, and next to none of those well above.
     """
 
-    def __init__(self, records: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 2, rare: float = 1e-3, even: float = 0.0, block: int = 256, seed: int = 1):
-        self.threshold, spark = threshold, records.sparkSession
+    def __init__(self, records: DataFrame, n: int = 5, jaccard: float = 0.8, threshold: float | None = None, bands: int = 16, rows: int = 2, rare: float = 1e-3, even: float = 0.5, block: int = 256, seed: int = 1):
+        threshold = weighted_floor(jaccard, 1 / even) if threshold is None else threshold
+        spark = records.sparkSession
         words = F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
         named = records.select("rid", "text").filter("rid is not null and text is not null").withColumn("same", F.unhex(F.md5(words)))
         self.all_sets = stage(named.mapInArrow(_shingle_batches(n), "rid long, same binary, sh array<long>, tf array<long>").filter("size(sh) > 0"), "shingles")
@@ -267,11 +270,11 @@ class NearDuplicates:
             .join(near.select(F.col("rid").alias("b"), F.col("sh").alias("sb"), F.col("tf").alias("tb")), "b")
         )
         checked = both.mapInArrow(_verify(tables), "a long, b long, jaccard double, weighted double")
-        self.links = stage(checked.filter(F.col("weighted") >= threshold), "links")
+        self.links = stage(checked.filter((F.col("weighted") >= threshold) & (F.col("jaccard") >= jaccard)), "links")
 
     def members(self) -> DataFrame:
         """(rid, rep): the class of each record that has shingles."""
-        return self.all_sets.select("rid", "same").join(self.classes, "same").select("rid", "rep")
+        return self.all_sets.select("rid", "same").join(self.classes, "same").select("rid", "rep").distinct()
 
     def groups(self) -> DataFrame:
         """(rid, rep, group_id, links): each record's class, group of linked classes, and its class's links."""
@@ -279,9 +282,9 @@ class NearDuplicates:
         ends = self.links.select(F.col("a").alias("rep")).unionByName(self.links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
         return self.members().join(linked, "rep", "left").join(ends, "rep", "left").select("rid", "rep", F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
-    def pairs(self, links: DataFrame) -> DataFrame:
+    def pairs(self) -> DataFrame:
         """(a, b), a < b: all pairs of records of linked classes, and of copies in one class."""
-        m = self.members()
+        m, links = self.members(), self.links
         a, b = m.select(F.col("rid").alias("x"), F.col("rep").alias("a")), m.select(F.col("rid").alias("y"), F.col("rep").alias("b"))
         across = links.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
         within = a.join(b, F.col("a") == F.col("b")).filter("x < y").select("x", "y")

@@ -87,7 +87,7 @@ def pack(docs: DataFrame, specs: DataFrame, conflicts: Iterable[tuple] = (), sha
 
     A text longer than the capacity is cut into full pieces and a rest; no other is split. Null and
     empty texts have no tokens and fit anywhere. Texts with the same words are one duplicate
-    cluster. Specs with a null or non-positive capacity are left out; ids must be unique.
+    cluster. Specs with a null or non-positive capacity are left out, and so are texts without an id; ids must be unique.
 
     Texts are spread over shards by a hash of their id, ``shard_tokens`` tokens each on average, and
     each shard is packed by itself: a shard bounds a task's rows, and leaves at most a few of its
@@ -95,7 +95,7 @@ def pack(docs: DataFrame, specs: DataFrame, conflicts: Iterable[tuple] = (), sha
     """
     spark = docs.sparkSession
     same = F.xxhash64(F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " "))))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(F.length("text") > 0, same).alias("cluster"), "text")
+    keyed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(F.length("text") > 0, same).alias("cluster"), "text")
     sized = stage(with_tokens(keyed, "doc_id", "text", ["source", "cluster"], vocabulary), "sizes")
     total = sized.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, round(total / shard_tokens))

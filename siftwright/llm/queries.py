@@ -17,17 +17,12 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of bodies whose records share at least half of their three-word sequences.
-
-    The sampler's threshold is what a plain similarity of a half is at least worth in weights that
-    differ by at most the factor of two that ``even`` allows; the exact check is on the sequences.
-    """
-    found = neardup.NearDuplicates(_records(spark, sf_dir), n=3, threshold=neardup.weighted_floor(0.5, 2), even=0.5)
-    return found.pairs(found.links.filter("jaccard >= 0.5")).select(F.col("a").alias("body_a"), F.col("b").alias("body_b"))
+    """Pairs of bodies whose records share at least half of their three-word sequences."""
+    return neardup.NearDuplicates(_records(spark, sf_dir), n=3, jaccard=0.5).pairs().select(F.col("a").alias("body_a"), F.col("b").alias("body_b"))
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each body's group of near-duplicates: five-word shingles, weighted similarity of 0.8 or more."""
+    """Each body's group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
     return neardup.NearDuplicates(_records(spark, sf_dir)).groups().withColumnRenamed("rid", "body_id")
 
 
