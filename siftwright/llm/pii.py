@@ -31,13 +31,15 @@ _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĮİĶŁŃŇŌŐŒŘŚŞŠŤŪŮŰ
 _CAP = rf"[{_UP}][\w’']*"
 _GAP = r"[   ]"
 _DOT = r" ?[\[({<] ?(?:dot|\.|punkt|point|punto) ?[\])}>] ?"
-_EMAIL = (
-    re.compile(r"[\w.+%&'=~!#$*/?^`{|}-]*\w@\w[\w-]*(?:\.\w[\w-]*)+"),
-    re.compile(rf"\w[\w.+-]*(?: ?[\[({{<] ?(?:at|@|arroba) ?[\])}}>] ?|＠)\w[\w-]*(?:(?:{_DOT}|\.)\w[\w-]*)+", re.I),
-    re.compile(r"\w[\w.+-]* at \w[\w-]*(?: dot \w[\w-]*)+", re.I),
-    re.compile(rf"\w[\w.+-]*@\w[\w-]*(?:{_DOT}\w[\w-]*)+", re.I),
-    re.compile(r"\w[\w.+-]* @ \w[\w-]*(?: ?\. ?\w[\w-]*)+"),
-)
+# An address is found from the sign in its middle: what stands before it, the sign, and the host after it.
+_SIGN = re.compile(r" ?[\[({<] ?(?:at|@|arroba) ?[\])}>] ?|＠| at | @ |@", re.I)
+_LOCAL = {True: re.compile(r"(?:^|(?<=[^\w.+%&'=~!#$*/?^`{|}-]))[\w.+%&'=~!#$*/?^`{|}-]*\w$"), False: re.compile(r"\w[\w.+-]*$")}
+_HOSTS = {
+    "@": re.compile(r"\w[\w-]*(?:\.\w[\w-]*)+"), "at": re.compile(r"\w[\w-]*(?: dot \w[\w-]*)+", re.I), "apart": re.compile(r"\w[\w-]*(?: ?\. ?\w[\w-]*)+"),
+    "signed": re.compile(rf"\w[\w-]*(?:(?:{_DOT}|\.)\w[\w-]*)+", re.I), "dots": re.compile(rf"\w[\w-]*(?:{_DOT}\w[\w-]*)+", re.I),
+}
+#: Characters that an address may have before its sign.
+MOST_LOCAL = 80
 _NUMBERS = re.compile(r"(?<![\w.,:])[+(]?\(?\d+(?:\)?[  .\-/‐‑–()]{0,3}\d+)*")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 _GROUP = re.compile(r"[+(]*\d+")
@@ -57,7 +59,7 @@ _NAME = rf"(?:{_OF}{{0,2}}(?:d['’]|l['’])?[{_UP}][\w’'-]*)"
 _STREETS = (
     ("after", re.compile(rf"(?<![\w.,:/-])(?P<no>{_NO}),?{_GAP}(?:[{_UP}\d][\w’'-]*{_GAP}){{1,4}}?(?:{_AFTER})(?!\w)")),
     ("way", re.compile(rf"(?<![\w.:/-])(?P<no>{_NO}),?{_GAP}(?:{_WAY}){_GAP}{_NAME}(?:{_GAP}{_NAME}){{0,3}}")),
-    ("tail", re.compile(rf"(?<!\w)(?:[{_UP}][\w’'-]*{_GAP})?[{_UP}][\w’'-]*(?:{_TAIL})(?:,?{_GAP})(?:Nr\.? ?)?(?P<no>{_NO})(?![\w:]|[.,]\d)", re.I)),
+    ("tail", re.compile(rf"(?<!\w)(?:[{_UP}][\w’'-]*{_GAP})?[{_UP}](?i:[\w’'-]*(?<=[\w’'-]{{2}})(?:{_TAIL}))(?:,?{_GAP})(?:Nr\.? ?)?(?P<no>{_NO})(?![\w:]|[.,]\d)")),
     ("before", re.compile(rf"(?<!\w)(?:{_WAY}){_GAP}?{_NAME}(?:{_GAP}{_NAME}){{0,3}}(?:,?{_GAP})(?:n\.?[º°o]?\.? ?|núm\. ?|no\. ?)?(?P<no>{_NO})(?![\w:]|[.,]\d)")),
     ("lead", re.compile(rf"(?<!\w)(?:Zum|Zur|Am|An der|An den|Auf der|Auf dem|Im|In der|Hinter der|Unter den|Vor dem){_GAP}(?:[{_UP}][\w’'-]*{_GAP}){{1,3}}(?:Nr\.? ?)?(?P<no>{_NO})(?![\w:]|[.,]\d)")),
 )
@@ -123,15 +125,21 @@ def _around(kind: str, text: str, a: int, b: int) -> list[str]:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
-    if "@" not in text and "＠" not in text and not re.search(r"\bat\b|arroba", text, re.I):
-        return
-    for i, pattern in enumerate(_EMAIL):
-        for m in pattern.finditer(text):
-            a, b = m.start(), m.end()
+    for m in _SIGN.finditer(text):
+        sign = m[0].lower()
+        forms = ("@", "dots") if sign == "@" else ("at",) if sign == " at " else ("apart",) if sign == " @ " else ("signed",)
+        for form in forms:
+            left = _LOCAL[form == "@"].search(text[max(0, m.start() - MOST_LOCAL) : m.start()])
+            right = _HOSTS[form].match(text, m.end())
+            if not left or not right:
+                continue
+            a, b = m.start() - len(left[0]), right.end()
+            while form == "@" and not (text[a].isalnum() or text[a] == "_") and a < m.start() - 1:
+                a += 1
             run = text.rfind(" ", 0, a) + 1
             before = text[max(0, a - 28) : a].lower()
-            local = re.split(r"@|[\[({< ]", m[0])[0]
-            f = [f"email|form={i}", "email|url" if "://" in text[run:b] or text[a - 1 : a] in ("/", ":") or "/" in local else "email|no-url"]
+            local = text[a : m.start()]
+            f = [f"email|form={form}", "email|url" if "://" in text[max(run, a - 2000) : b] or text[a - 1 : a] in ("/", ":") or "/" in local else "email|no-url"]
             f.append("email|id-header" if re.search(r"message-id|in-reply-to|references|content-id|\bcid:|\bid\s*[:=<]", before) else "email|no-header")
             if re.fullmatch(r"[0-9a-f]{6,}\.[0-9a-f]+|[0-9a-f]{12,}", local.lower()):
                 f.append("email|hex")
@@ -144,7 +152,7 @@ def _phones(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
     for m in _NUMBERS.finditer(text):
         if sum(c.isdigit() for c in m[0]) < 7:
             continue
-        groups = [(g.start() + m.start(), g.end() + m.start()) for g in _GROUP.finditer(m[0])][:12]
+        groups = [(g.start() + m.start(), g.end() + m.start()) for g in _GROUP.finditer(m[0])]
         for i in range(len(groups)):
             for j in range(i, min(i + 7, len(groups))):
                 a, b = groups[i][0], groups[j][1]
