@@ -80,7 +80,7 @@ def test_ovba_and_rtf():
         with pytest.raises(ole.Broken):
             ole.ovba(bad)
     # MS-OXRTFCP 4.1.1
-    data = bytes.fromhex("2d0000002b0000004c5a4675f1c5c7a703000a007263706731323542320af8206865" + "6c090020627705b06c647d0a800fa0")
+    data = bytes.fromhex("2d0000002b0000004c5a4675f1c5c7a703000a007263706731323542320af32068656c090020627705b06c647d0a800fa0")
     assert ole.unpack_rtf(data) == b"{\\rtf1\\ansi\\ansicpg1252\\pard hello world}\r\n"
 
 
