@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +25,8 @@ from siftwright.llm.pii_corpus import STREET_AFTER, STREET_BEFORE, STREET_TAIL,
 KINDS = ("email", "phone", "id_number", "street", "person")
 #: Names of a list that may go to the workers; longer lists are refused.
 MOST_NAMES = 2_000_000
+#: Words whose kind a worker remembers.
+REMEMBERED = 100_000
 
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĮİĶŁŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽȘȚ"
 _CAP = rf"[{_UP}][\w’']*"
@@ -95,35 +96,68 @@ class Names:
             for k in range(3, min(len(f), 6)):
                 count[f[:k]] = count.get(f[:k], 0) + 1
         self.beginnings = {p for p, n in count.items() if n >= 4}
+        self.known: dict[tuple[str, str], str] = {}
+
+    def _kept(self, what: str, word: str, value: str) -> str:
+        """A word's answer, remembered for as long as the table is small."""
+        if len(self.known) < REMEMBERED:
+            self.known[what, word] = value
+        return value
 
     def is_family(self, word: str) -> str:
+        if got := self.known.get(("family", word)):
+            return got
         parts = word.lower().split("-")
         if all(p in self.family for p in parts):
-            return "listed"
-        if all(p in self.family or any(p[:k] in self.beginnings for k in (3, 4, 5)) and len(p) > 5 for p in parts):
-            return "alike"
-        return "given" if word.lower() in self.given else "other"
+            kind = "listed"
+        elif all(p in self.family or any(p[:k] in self.beginnings for k in (3, 4, 5)) and len(p) > 5 for p in parts):
+            kind = "alike"
+        else:
+            kind = "given" if word.lower() in self.given else "other"
+        return self._kept("family", word, kind)
 
     def is_given(self, word: str) -> str:
+        if got := self.known.get(("given", word)):
+            return got
         w = word.lower()
         if w.endswith(".") and len(w) == 2:
-            return "initial"
-        return "listed" if all(p in self.given for p in w.split("-")) else "family" if self.is_family(word) != "other" else "other"
-
+            kind = "initial"
+        else:
+            kind = "listed" if all(p in self.given for p in w.split("-")) else "family" if self.is_family(word) != "other" else "other"
+        return self._kept("given", word, kind)
 
-@lru_cache(maxsize=4096)
-def _digits(s: str) -> str:
-    return "".join(c for c in s if c.isdigit())
 
-
-def _around(kind: str, text: str, a: int, b: int) -> list[str]:
-    before, after = _near(text, a, b)
+def _around(kind: str, near: tuple[list[str], list[str]]) -> list[str]:
+    before, after = near
     f = [f"{kind}|b1={before[0]}" if before else f"{kind}|b1=^", f"{kind}|a1={after[0]}" if after else f"{kind}|a1=$"]
     if len(before) > 1:
         f.append(f"{kind}|b2={before[1]}")
     return f
 
 
+#: Where spans that begin with a capital or with a digit may begin.
+_CAPITAL, _NUMERAL = re.compile(rf"(?<!\w)[{_UP}]"), re.compile(r"(?<!\w)(?:\d|[XYZ]\d)")
+_BY_CAPITAL, _BY_NUMERAL = ("given", "middle", "initial", "tail", "lead"), ("after", "way", "ssn", "dni", "nir")
+
+
+def _matches(name: str, pattern: re.Pattern, text: str, starts: dict[str, list[int]]) -> Iterator[re.Match]:
+    """The matches of a pattern at each place where one may begin, overlapping ones too."""
+    kind = "capital" if name in _BY_CAPITAL else "numeral" if name in _BY_NUMERAL else None
+    if kind:
+        if kind not in starts:
+            starts[kind] = [m.start() for m in (_CAPITAL if kind == "capital" else _NUMERAL).finditer(text)]
+        for at in starts[kind]:
+            if m := pattern.match(text, at):
+                yield m
+        return
+    at = 0
+    while m := pattern.search(text, at):
+        at = m.start() + 1
+        while at < len(text) and (text[at].isalnum() or text[at] in "’'-"):
+            at += 1
+        yield m
+
+
 def _emails(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
     for m in _SIGN.finditer(text):
         sign = m[0].lower()
@@ -152,13 +186,15 @@ def _phones(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
     for m in _NUMBERS.finditer(text):
         if sum(c.isdigit() for c in m[0]) < 7:
             continue
-        groups = [(g.start() + m.start(), g.end() + m.start()) for g in _GROUP.finditer(m[0])]
+        groups = [(g.start() + m.start(), g.end() + m.start(), len(g[0].lstrip("+("))) for g in _GROUP.finditer(m[0])]
         for i in range(len(groups)):
+            n = 0
             for j in range(i, min(i + 7, len(groups))):
+                n += groups[j][2]
+                if n > 15:
+                    break
                 a, b = groups[i][0], groups[j][1]
-                span = text[a:b]
-                n = len(_digits(span))
-                if not 7 <= n <= 15 or span.count("(") != span.count(")") or _IP.fullmatch(span):
+                if n < 7 or (span := text[a:b]).count("(") != span.count(")") or _IP.fullmatch(span):
                     continue
                 before, after = _near(text, a, b)
                 whole = i == 0 and j == len(groups) - 1
@@ -179,12 +215,12 @@ def _phones(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
                 line = text.rfind("\n", 0, a) + 1
                 if not text[line:a].strip() and not text[b : b + 1].strip():
                     f.append("phone|line")
-                yield a, b, "phone", f + _around("phone", text, a, b)
+                yield a, b, "phone", f + _around("phone", (before, after))
 
 
-def _ids(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
+def _ids(text: str, starts: dict[str, list[int]]) -> Iterator[tuple[int, int, str, list[str]]]:
     for name, pattern in _IDS:
-        for m in pattern.finditer(text):
+        for m in _matches(name, pattern, text, starts):
             s = re.sub(r"[^0-9A-Za-z]", "", m[0]).upper()
             f = [f"id|{name}", f"id|{name}|sep={m[0].count(' ') > 0}{m[0].count('-') > 0}"]
             if name == "dni":
@@ -194,16 +230,14 @@ def _ids(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
                 f.append(f"id|nir={nir_key(n) == int(s[13:])}")
             if name == "ssn":
                 f.append(f"id|ssn9={s[0] == '9'}")
-            before, _ = _near(text, m.start(), m.end())
+            before, after = _near(text, m.start(), m.end())
             f.append("id|mine=" + ("not" if any(w in NOT_MINE for w in before) else "identity" if any(w in IDENTITY for w in before) else "open"))
-            yield m.start(), m.end(), "id_number", f + _around("id", text, m.start(), m.end())
+            yield m.start(), m.end(), "id_number", f + _around("id", (before, after))
 
 
-def _streets(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
+def _streets(text: str, starts: dict[str, list[int]]) -> Iterator[tuple[int, int, str, list[str]]]:
     for name, pattern in _STREETS:
-        at = 0
-        while m := pattern.search(text, at):
-            at = m.start() + 1
+        for m in _matches(name, pattern, text, starts):
             ends = {m.end()}
             if name == "way":
                 # Any number of the words may be the name.
@@ -219,19 +253,15 @@ def _streets(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
                 if name == "tail":
                     head = m[0].split()[0].lower()
                     f.append(f"street|two={not re.search(rf'(?:{_TAIL})', head)}")
-                yield m.start(), b, "street", f + _around("street", text, m.start(), b)
+                yield m.start(), b, "street", f + _around("street", _near(text, m.start(), b))
                 lead = re.match(rf"[{_UP}][\w’'-]*{_GAP}", m[0])
                 if name == "tail" and lead and not re.match(r"\d", m[0][lead.end() :]):
-                    yield m.start() + lead.end(), b, "street", [f"street|{name}", "street|inner", *_around("street", text, m.start() + lead.end(), b)]
+                    yield m.start() + lead.end(), b, "street", [f"street|{name}", "street|inner", *_around("street", _near(text, m.start() + lead.end(), b))]
 
 
-def _persons(text: str, names: Names) -> Iterator[tuple[int, int, str, list[str]]]:
+def _persons(text: str, names: Names, starts: dict[str, list[int]]) -> Iterator[tuple[int, int, str, list[str]]]:
     for name, pattern in _PERSONS:
-        at = 0
-        while m := pattern.search(text, at):
-            at = m.start() + 1
-            while at < len(text) and (text[at].isalnum() or text[at] in "’'-"):
-                at += 1
+        for m in _matches(name, pattern, text, starts):
             g, f_, mid = m["g"], m["f"], m["m"].strip()
             gk, fk = names.is_given(g), names.is_family(f_.split()[-1])
             upper = g.isupper() == f_.isupper() or len(g) == 2
@@ -239,21 +269,23 @@ def _persons(text: str, names: Names) -> Iterator[tuple[int, int, str, list[str]
             f.append(f"person|mid={'no' if not mid else 'initial' if len(mid) == 2 else names.is_given(mid)}")
             if " " in f_:
                 f.append("person|particle")
-            follow = _near(text, m.start(), m.end())[1]
+            near = _near(text, m.start(), m.end())
+            follow = near[1]
             if follow and follow[0].capitalize() in STREET_AFTER:
                 f.append("person|street-follows")
             if f_.split()[-1] in STREET_AFTER:
                 f.append("person|is-street")
             f.append(f"person|gw={g.lower()}" if gk == "other" else "person|gw")
             f.append(f"person|fw={f_.lower()}" if fk == "other" else "person|fw")
-            yield m.start(), m.end(), "person", f + _around("person", text, m.start(), m.end())
+            yield m.start(), m.end(), "person", f + _around("person", near)
 
 
 def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]:
     """(start, end, kind, features) of the spans that have the bare form of a kind, by start and end."""
-    found = [*_emails(text), *_persons(text, names)]
+    starts: dict[str, list[int]] = {}
+    found = [*_emails(text), *_persons(text, names, starts)]
     if any(c.isdigit() for c in text):
-        found += [*_phones(text), *_ids(text), *_streets(text)]
+        found += [*_phones(text), *_ids(text, starts), *_streets(text, starts)]
     one: dict[tuple[int, int, str], list[str]] = {}
     for a, b, k, f in found:
         one.setdefault((a, b, k), f)
