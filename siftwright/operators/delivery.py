@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwright.operators.components import connected_components
-from siftwright.session import shared_dir, stage
+from siftwright.session import new_path, stage
 
 RANK_BITS = 40
 BITMAP_BITS = 32768
@@ -131,8 +131,6 @@ def ingest(batch: DataFrame, id_col: str, identifiers: list[Column], order: list
     fresh = keys.join(old, "key", "left_anti")
     shard = F.pmod(F.xxhash64("key"), F.lit(ledger.shards))
     base = old.groupBy(F.shiftright("code", RANK_BITS).alias("shard")).agg((F.max(F.col("code").bitwiseAND(F.lit((1 << RANK_BITS) - 1))) + 1).alias("base"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("shard").orderBy("key")
     coded = (
         fresh.withColumn("shard", shard).withColumn("r", F.row_number().over(w) - 1)
@@ -188,5 +186,5 @@ def ingest(batch: DataFrame, id_col: str, identifiers: list[Column], order: list
 
 def redeliveries(batch: DataFrame, id_col: str, identifiers: list[Column], order: list[Column], shards: int = 256) -> DataFrame:
     """The ids of all rows but the first of each message, over one whole table and a ledger of its own."""
-    ledger = DeliveryLedger(batch.sparkSession, f"{shared_dir(batch.sparkSession)}/ledger-{uuid.uuid4().hex[:12]}", shards)
+    ledger = DeliveryLedger(batch.sparkSession, new_path(batch.sparkSession, "ledger"), shards)
     return ingest(batch, id_col, identifiers, order, ledger).filter("redelivery").select(id_col)

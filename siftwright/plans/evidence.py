@@ -435,3 +435,83 @@ def stix_objects(s, d):
 def misp_attributes(s, d):
     """A MISP attribute for each indicator."""
     return sinks.misp_attributes(_indicators(s, d).withColumn("verdict", F.lit("suspicious")))
+
+
+# --- the parse stage, streams and archives, on bytes made from the tables -----------------------------------------------
+
+_MADE = "subject <> '' AND from_address <> '' AND regexp_matches(subject, '^[\\x21-\\x7E][\\x20-\\x7E]*[\\x21-\\x7E]$') AND NOT contains(subject, '=?') AND regexp_matches(from_address, '^[a-z0-9.]+@[a-z0-9.-]+$')"
+
+
+@query(f"""WITH m AS (SELECT delivery_id, report_id, subject, lower(from_address) AS sender FROM messages WHERE {_MADE}), h AS (SELECT report_id, count(*) AS hops FROM hops WHERE raw IS NOT NULL GROUP BY report_id)
+ SELECT delivery_id, subject, sender, coalesce(hops, 0) AS hops FROM m LEFT JOIN h USING (report_id)""")
+def parse_round_trip(s, d):
+    """Messages written as bytes, with all their hops, and parsed again."""
+    from siftwright.sources import parse
+
+    plain = F.col("subject").rlike(r"^[\x21-\x7E][\x20-\x7E]*[\x21-\x7E]$") & ~F.contains("subject", F.lit("=?")) & F.col("from_address").rlike("^[a-z0-9.]+@[a-z0-9.-]+$")
+    stamps = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("idx")).alias("i"), F.col("hop_id").alias("k"), "raw"))), lambda x: F.concat(F.lit("Received: "), F.regexp_replace(x["raw"], r"[\r\n]+[ \t]*", " ")))
+    hops = table(s, d, "hops").filter("raw is not null").groupBy("report_id").agg(F.array_join(stamps, "\r\n").alias("received"))
+    m = table(s, d, "messages").filter(plain).select("delivery_id", "report_id", "subject", "from_address").join(hops, "report_id", "left")
+    raw = F.concat(F.coalesce(F.concat("received", F.lit("\r\n")), F.lit("")), F.lit("From: "), "from_address", F.lit("\r\nSubject: "), "subject", F.lit("\r\n\r\nbody\r\n"))
+    got = parse.parsed(m.select(F.col("delivery_id").cast("string").alias("path"), F.encode(raw, "UTF-8").alias("content")))
+    return got.select(F.col("path").cast("long").alias("delivery_id"), "subject", F.col("from_address").alias("sender"), F.size("hops").cast("long").alias("hops"))
+
+
+@query("SELECT DISTINCT md5(text) AS digest FROM documents WHERE text <> ''")
+def watch_dedupe(s, d):
+    """Texts that come in as a stream, each content once, until nothing more is there."""
+    from siftwright.session import new_path, stage
+
+    files = stage(table(s, d, "documents").filter("text <> ''").select("text").repartition(3), "stream-in")
+    place = files.inputFiles()[0].rpartition("/")[0]
+    stream = s.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(place).select(F.md5("text").alias("digest")).dropDuplicates(["digest"])
+    out = new_path(s, "stream")
+    stream.writeStream.option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).format("parquet").start(f"{out}/rows").awaitTermination()
+    return s.read.schema("digest string").parquet(f"{out}/rows")
+
+
+@query("SELECT delivery_id, 'file.txt' AS name, octet_length(encode(subject)) AS size, sha256(subject) AS sha256 FROM messages WHERE subject <> ''")
+def archive_members(s, d):
+    """Subjects put into archives, and taken out again."""
+    import gzip
+
+    from siftwright.operators import archives
+
+    @F.udf("binary")
+    def packed(text):
+        return gzip.compress(text.encode())
+
+    m = table(s, d, "messages").filter("subject <> ''").select(F.col("delivery_id").cast("string").alias("report_id"), F.lit("1").alias("part"), F.lit("gzip").alias("detected_type"), packed("subject").alias("payload"))
+    return archives.members(m).select(F.col("report_id").cast("long").alias("delivery_id"), F.lit("file.txt").alias("name"), "size", "sha256")
+
+
+@query()
+def imitated_hosts(s, d):
+    """Hosts of URLs that imitate a watched one."""
+    from siftwright.operators import imitation
+
+    watched = table(s, d, "watch_names").filter("field_name = 'host'").select(F.col("canonical").alias("domain"), F.lit("org").alias("kind"))
+    return imitation.imitations(table(s, d, "urls").select("host"), watched)
+
+
+@query()
+def message_findings(s, d):
+    """Findings that the given tables allow, of all detectors in one table."""
+    from siftwright.operators.timestamps import after_last_semicolon, normalise, source_zones
+
+    zones = source_zones(table(s, d, "relays"), "relay_host", "tz_name")
+    messages, hops, urls, bodies = (table(s, d, n) for n in ("messages", "hops", "urls", "text_bodies"))
+    dates = normalise(messages, "delivery_id", "submit_host", [F.col("date_hdr")], zones).withColumnRenamed("utc_us", "date_us")
+    stamps = normalise(hops, "hop_id", "by_host", [F.col("ts"), after_last_semicolon(F.col("raw"))], zones)
+    none = F.lit(None).cast("string")
+    m = messages.join(dates, "delivery_id", "left").withColumns({"sender": none, "from_count": F.lit(1), "x_originating_ip": none, "php_script": none})
+    h = hops.join(stamps, "hop_id", "left")
+    return detect.union([detect.sender_identity(m), detect.timeline(m, h), detect.sending_software(m), detect.provider_path(m, h), detect.links(urls), detect.body(bodies)])
+
+
+@query()
+def message_scores(s, d):
+    """Scores and verdicts of all messages."""
+    f = message_findings(s, d)
+    w = Window.partitionBy("report_id").orderBy(F.desc(score.severity_rank(F.col("severity"))), "code", "location", "evidence")
+    return score.assess_nested(table(s, d, "messages").select("report_id", "parent_report_id"), f.withColumn("seq", F.row_number().over(w))).select("report_id", "score", "verdict", "floor", "nested_score")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwright.session import stage
+
 # Points by severity, verdicts by least score, scores that some findings set at least, categories by the
 # beginning of a code (the first that fits).
 POINTS = {"high": 25.0, "medium": 10.0, "low": 3.0, "info": 0.0}
@@ -106,12 +108,19 @@ def assess(reports: DataFrame, findings: DataFrame, nested: DataFrame | None = N
 
 
 def assess_nested(reports: DataFrame, findings: DataFrame, depth: int = 3) -> DataFrame:
-    """:func:`assess` bottom-up over ``reports(report_id, parent_report_id)``: a parent is at least as bad as what it carries."""
-    out = assess(reports, findings)
+    """:func:`assess` bottom-up over ``reports(report_id, parent_report_id)``: a parent is at least as bad as what it carries.
+
+    Each report is assessed once, into a stage; only scores go up, one join a level.
+    """
+    own = stage(assess(reports, findings), "assessed")
+    kin = reports.filter("parent_report_id is not null").select("report_id", "parent_report_id")
+    total = own.select("report_id", "score")
     for _ in range(depth):
-        worst = reports.filter("parent_report_id is not null").join(out.select("report_id", "score"), "report_id").groupBy(F.col("parent_report_id").alias("report_id")).agg(F.max("score").alias("nested_score"))
-        out = assess(reports, findings, worst)
-    return out
+        worst = kin.join(total, "report_id").groupBy(F.col("parent_report_id").alias("report_id")).agg(F.max("score").alias("nested_score"))
+        total = own.select("report_id", "score").join(worst, "report_id", "left").select("report_id", F.greatest("score", F.coalesce("nested_score", F.lit(0))).alias("score"))
+    raised = F.greatest("score", F.coalesce("nested_score", F.lit(0)))
+    out = own.drop("nested_score").join(worst, "report_id", "left")
+    return out.select("report_id", raised.alias("score"), verdict_of(raised).alias("verdict"), "categories", "floor", F.col("nested_score").cast("int").alias("nested_score"))
 
 
 def summary(assessments: DataFrame, findings: DataFrame) -> DataFrame:

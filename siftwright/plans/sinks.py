@@ -89,3 +89,29 @@ def cef(messages: DataFrame, assessments: DataFrame, findings: DataFrame, rt_ms:
     ext = F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), cef_escape(v)) for k, v in fields])
     head = F.concat_ws("|", F.lit("CEF:0"), F.lit(TOOL), F.lit(TOOL), F.lit(VERSION), cef_escape(verdict, True), cef_escape(name, True), F.least(F.lit(10), F.bround(score / 10).cast("int")).cast("string"), ext)
     return e.select("report_id", head.alias("line"))
+
+
+def extract_attachments(attachments: DataFrame, folder: str) -> DataFrame:
+    """Write each distinct payload as ``<sha256>.bin`` to a folder that all executors share; the manifest of what was written.
+
+    Files are renamed into place whole and can only be read, so a task that runs twice does no harm.
+    """
+    import os
+    import tempfile
+
+    once = attachments.filter("payload is not null").select("sha256", "payload").dropDuplicates(["sha256"])
+
+    def write(rows) -> None:
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            target = os.path.join(folder, f"{r.sha256}.bin")
+            if os.path.exists(target):
+                continue
+            handle, part = tempfile.mkstemp(dir=folder, prefix=".part-")
+            with os.fdopen(handle, "wb") as f:
+                f.write(bytes(r.payload))
+            os.chmod(part, 0o444)
+            os.replace(part, target)
+
+    once.foreachPartition(write)
+    return attachments.select("report_id", "part", "filename", "sha256", "size", "detected_type", F.concat("sha256", F.lit(".bin")).alias("file"))

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def builder(app: str = "siftwright", master: str | None = None):
@@ -56,12 +57,29 @@ def _drop_local(uri: str) -> None:
     shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody has; :func:`clear_stages` deletes what was put there."""
+    path = f"{shared_dir(spark)}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    """Write ``df`` to the shared folder and return a reader of it.
+
+    The table stays as long as results that read it may be needed: see :func:`clear_stages`.
+    """
+    path = new_path(df.sparkSession, f"stage-{name}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete all that this process put into the shared folder; results not yet written then can't be read."""
+    n = len(_MADE)
+    while _MADE:
+        drop_path(spark, _MADE.pop())
+    return n
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -219,3 +219,13 @@ def test_watched_folder_takes_each_content_once(spark, tmp_path):
     (src / "g.eml").write_bytes(CLEAN + b"more")
     go()
     assert spark.read.json(str(out)).filter("path is not null").count() == 3
+
+
+def test_stages_are_cleared(spark):
+    from siftwright import session
+
+    df = session.stage(spark.range(3).toDF("x"), "small")
+    path = df.inputFiles()[0].rpartition("/")[0]
+    assert df.count() == 3 and session.clear_stages(spark) >= 1 and session.clear_stages(spark) == 0
+    with pytest.raises(Exception, match="(?i)path|file"):
+        spark.read.parquet(path).count()
