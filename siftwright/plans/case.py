@@ -30,15 +30,26 @@ def append_entries(entries: list[dict], prev: str = GENESIS, start: int = 1) ->
     return out
 
 
-def broken_links(log: DataFrame, seq: str, prev: str, own: str, expected: Column | None = None) -> DataFrame:
-    """(seq, problem) of entries whose link isn't the digest before, or whose digest isn't the ``expected``.
+def with_previous(log: DataFrame, seq: str, own: str, width: int = 1_000_000) -> DataFrame:
+    """A log with ``_before`` and ``_seq_before``: the digest and the number of the entry before each; nulls for the first.
 
-    A log is one chain, so it is ordered in one partition; it grows with the acts of examiners, not
-    with the evidence.
+    Entries are looked at in ranges of ``width`` numbers, each of which hears the last entry before
+    it from a table with one row a range: no chain is ever brought together whole.
     """
-    w = Window.orderBy(seq)
-    step = log.withColumn("_n", F.row_number().over(w)).withColumn("_before", F.coalesce(F.lag(own).over(w), F.lit(GENESIS)))
-    problems = [(F.col(prev) != F.col("_before"), "link"), *([(F.col(own) != expected, "hash")] if expected is not None else [])]
+    ranged = log.withColumn("_range", F.floor(F.col(seq) / width))
+    w = Window.partitionBy("_range").orderBy(seq)
+    ends = ranged.groupBy("_range").agg(F.max(F.struct(F.col(seq).alias("s"), F.col(own).alias("h"))).alias("_end"))
+    carried = ends.select("_range", F.lag("_end").over(Window.orderBy("_range")).alias("_carry"))
+    both = ranged.withColumn("_in", F.lag(F.struct(F.col(seq).alias("s"), F.col(own).alias("h"))).over(w)).join(carried, "_range")
+    return both.withColumn("_before", F.coalesce("_in.h", "_carry.h")).withColumn("_seq_before", F.coalesce("_in.s", "_carry.s")).drop("_range", "_in", "_carry")
+
+
+def broken_links(log: DataFrame, seq: str, prev: str, own: str, expected: Column | None = None, numbered: bool = False) -> DataFrame:
+    """(seq, problem) of entries whose link isn't the digest before, whose digest isn't the ``expected``, or, in a ``numbered`` log, that don't follow the number before."""
+    step = with_previous(log, seq, own)
+    problems = [(F.col(prev) != F.coalesce("_before", F.lit(GENESIS)), "link")]
+    problems += [(F.col(own) != expected, "hash")] if expected is not None else []
+    problems += [(F.col(seq) != F.coalesce("_seq_before", F.lit(0)) + 1, "number")] if numbered else []
     found = F.array_compact(F.array(*[F.when(c, F.lit(p)) for c, p in problems]))
     return step.select(F.col(seq).alias("seq"), F.explode(found).alias("problem"))
 
@@ -51,11 +62,7 @@ def verify_log(log: DataFrame) -> DataFrame:
             f["_expected"] = [entry_hash(int(r.seq), r.time, r.action, r.examiner, json.loads(r.details or "{}"), r.prev_hash) for r in f.itertuples()]
             yield f
 
-    whole = log.mapInPandas(digests, LOG + ", _expected string")
-    links = broken_links(whole, "seq", "prev_hash", "hash", F.col("_expected"))
-    w = Window.orderBy("seq")
-    gaps = log.withColumn("_n", F.row_number().over(w)).filter("seq <> _n").select("seq", F.lit("number").alias("problem"))
-    return links.unionByName(gaps)
+    return broken_links(log.mapInPandas(digests, LOG + ", _expected string"), "seq", "prev_hash", "hash", F.col("_expected"), numbered=True)
 
 
 def missing_evidence(registered: DataFrame, present: DataFrame) -> DataFrame:

@@ -229,3 +229,9 @@ def test_stages_are_cleared(spark):
     assert df.count() == 3 and session.clear_stages(spark) >= 1 and session.clear_stages(spark) == 0
     with pytest.raises(Exception, match="(?i)path|file"):
         spark.read.parquet(path).count()
+
+
+def test_previous_entries_across_ranges(spark):
+    log = spark.createDataFrame([(i, f"h{i}") for i in (1, 2, 3, 7, 8, 25, 26, 90)], "seq int, hash string")
+    got = {r.seq: (r._before, r._seq_before) for r in case.with_previous(log, "seq", "hash", width=4).collect()}
+    assert got == {1: (None, None), 2: ("h1", 1), 3: ("h2", 2), 7: ("h3", 3), 8: ("h7", 7), 25: ("h8", 8), 26: ("h25", 25), 90: ("h26", 26)}
