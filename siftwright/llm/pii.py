@@ -136,20 +136,29 @@ def _around(kind: str, near: tuple[list[str], list[str]]) -> list[str]:
 
 
 #: Where spans that begin with a capital or with a digit may begin.
-_CAPITAL, _NUMERAL = re.compile(rf"(?<!\w)[{_UP}]"), re.compile(r"(?<!\w)(?:\d|[XYZ]\d)")
-_BY_CAPITAL, _BY_NUMERAL = ("given", "middle", "initial", "tail", "lead"), ("after", "way", "ssn", "dni", "nir")
+_CAPITAL, _NUMERAL = re.compile(rf"(?<!\w)[{_UP}]"), re.compile(r"(?<!\w)(?:\d+|[XYZ]\d)")
+_BY_CAPITAL = ("given", "middle", "initial", "tail", "lead")
+#: The lengths that the first run of digits of a form can have; 0 stands for a letter before it.
+_BY_NUMERAL = {"after": (1, 2, 3, 4), "way": (1, 2, 3, 4), "ssn": (3, 9), "dni": (0, 8), "nir": (1, 13, 15)}
 
 
-def _matches(name: str, pattern: re.Pattern, text: str, starts: dict[str, list[int]]) -> Iterator[re.Match]:
+def _matches(name: str, pattern: re.Pattern, text: str, starts: dict[str, list[tuple[int, int]]]) -> Iterator[re.Match]:
     """The matches of a pattern at each place where one may begin, overlapping ones too."""
-    kind = "capital" if name in _BY_CAPITAL else "numeral" if name in _BY_NUMERAL else None
-    if kind:
-        if kind not in starts:
-            starts[kind] = [m.start() for m in (_CAPITAL if kind == "capital" else _NUMERAL).finditer(text)]
-        for at in starts[kind]:
+    if name in _BY_CAPITAL:
+        if "capital" not in starts:
+            starts["capital"] = [(m.start(), 0) for m in _CAPITAL.finditer(text)]
+        for at, _ in starts["capital"]:
             if m := pattern.match(text, at):
                 yield m
         return
+    if name in _BY_NUMERAL:
+        if "numeral" not in starts:
+            starts["numeral"] = [(m.start(), 0 if m[0][0] in "XYZ" else m.end() - m.start()) for m in _NUMERAL.finditer(text)]
+        lengths = _BY_NUMERAL[name]
+        for at, n in starts["numeral"]:
+            if n in lengths and (m := pattern.match(text, at)):
+                yield m
+        return
     at = 0
     while m := pattern.search(text, at):
         at = m.start() + 1
@@ -218,7 +227,7 @@ def _phones(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
                 yield a, b, "phone", f + _around("phone", (before, after))
 
 
-def _ids(text: str, starts: dict[str, list[int]]) -> Iterator[tuple[int, int, str, list[str]]]:
+def _ids(text: str, starts: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int, str, list[str]]]:
     for name, pattern in _IDS:
         for m in _matches(name, pattern, text, starts):
             s = re.sub(r"[^0-9A-Za-z]", "", m[0]).upper()
@@ -235,7 +244,7 @@ def _ids(text: str, starts: dict[str, list[int]]) -> Iterator[tuple[int, int, st
             yield m.start(), m.end(), "id_number", f + _around("id", (before, after))
 
 
-def _streets(text: str, starts: dict[str, list[int]]) -> Iterator[tuple[int, int, str, list[str]]]:
+def _streets(text: str, starts: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int, str, list[str]]]:
     for name, pattern in _STREETS:
         for m in _matches(name, pattern, text, starts):
             ends = {m.end()}
@@ -259,7 +268,7 @@ def _streets(text: str, starts: dict[str, list[int]]) -> Iterator[tuple[int, int
                     yield m.start() + lead.end(), b, "street", [f"street|{name}", "street|inner", *_around("street", _near(text, m.start() + lead.end(), b))]
 
 
-def _persons(text: str, names: Names, starts: dict[str, list[int]]) -> Iterator[tuple[int, int, str, list[str]]]:
+def _persons(text: str, names: Names, starts: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int, str, list[str]]]:
     for name, pattern in _PERSONS:
         for m in _matches(name, pattern, text, starts):
             g, f_, mid = m["g"], m["f"], m["m"].strip()
@@ -282,7 +291,7 @@ def _persons(text: str, names: Names, starts: dict[str, list[int]]) -> Iterator[
 
 def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]:
     """(start, end, kind, features) of the spans that have the bare form of a kind, by start and end."""
-    starts: dict[str, list[int]] = {}
+    starts: dict[str, list[tuple[int, int]]] = {}
     found = [*_emails(text), *_persons(text, names, starts)]
     if any(c.isdigit() for c in text):
         found += [*_phones(text), *_ids(text, starts), *_streets(text, starts)]
