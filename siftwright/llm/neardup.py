@@ -1,6 +1,7 @@
-"""Near-duplicate records, by improved consistent weighted sampling over TF-IDF shingles.
+"""Near-duplicate records, by improved consistent weighted sampling over idf-weighted shingles.
 
-A record's shingles are its distinct runs of consecutive words, weighted by (1 + ln tf) * idf. The
+A record's shingles are its distinct runs of consecutive words, weighted by their idf: a shingle weighs
+the same in all records, however often each repeats it, as the plain similarity that decides counts sets. The
 idf counts all records, but a shingle in fewer than ``rare`` of them counts as if in that share: so
 only shingles more frequent than that need a table, and there are at most (mean shingles of a
 record) / ``rare`` of these whatever the number of records. Consistent weighted samples agree
@@ -78,10 +79,9 @@ def samples(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, count:
 def _shingle_batches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles_of(t, n) for t in b.column("text").to_pylist()]
-            kind = pa.list_(pa.int64())
-            cols = [b.column("rid"), b.column("same"), pa.array([s for s, _ in sets], kind), pa.array([c for _, c in sets], kind)]
-            yield pa.RecordBatch.from_arrays(cols, names=["rid", "same", "sh", "tf"])
+            sets = [shingles_of(t, n)[0] for t in b.column("text").to_pylist()]
+            cols = [b.column("rid"), b.column("same"), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "same", "sh"])
 
     return run
 
@@ -157,14 +157,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-def weights_of(sh: np.ndarray, tf: np.ndarray, common: np.ndarray, idf: np.ndarray, top: float) -> np.ndarray:
-    """(1 + ln tf) * idf; ``common`` is sorted and holds the shingles that ``idf`` knows, all others get ``top``."""
+def weights_of(sh: np.ndarray, common: np.ndarray, idf: np.ndarray, top: float) -> np.ndarray:
+    """The idf; ``common`` is sorted and holds the shingles that ``idf`` knows, all others get ``top``."""
     w = np.full(len(sh), top)
     if len(common):
         at = np.minimum(np.searchsorted(common, sh), len(common) - 1)
         known = common[at] == sh
         w[known] = idf[at[known]]
-    return w * (1 + np.log(tf))
+    return w
 
 
 def _band_batches(tables, bands: int, rows: int, seed: int):
@@ -173,8 +173,8 @@ def _band_batches(tables, bands: int, rows: int, seed: int):
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                sh, tf, size = b.column("sh").flatten().to_numpy(), b.column("tf").flatten().to_numpy(), pc.list_value_length(b.column("sh")).to_numpy()
-                s = samples(sh, weights_of(sh, tf, common, idf, top), np.cumsum(size) - size, bands * rows, seed)
+                sh, size = b.column("sh").flatten().to_numpy(), pc.list_value_length(b.column("sh")).to_numpy()
+                s = samples(sh, weights_of(sh, common, idf, top), np.cumsum(size) - size, bands * rows, seed)
                 band = np.zeros((len(size), bands), np.uint64)
                 for j in range(rows):
                     band = _mix(band * _GOLD + s[:, j::rows])
@@ -203,10 +203,10 @@ def _verify(tables):
         common, idf, top = tables.value
         for b in batches:
             plain, weighted = np.empty(b.num_rows), np.empty(b.num_rows)
-            cols = [b.column(c) for c in ("sa", "ta", "sb", "tb")]
+            cols = [b.column(c) for c in ("sa", "sb")]
             for i in range(b.num_rows):
-                sa, ta, sb, tb = (c[i].values.to_numpy() for c in cols)
-                wa, wb = weights_of(sa, ta, common, idf, top), weights_of(sb, tb, common, idf, top)
+                sa, sb = (c[i].values.to_numpy() for c in cols)
+                wa, wb = weights_of(sa, common, idf, top), weights_of(sb, common, idf, top)
                 _, ia, ib = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
                 least = np.minimum(wa[ia], wb[ib]).sum()
                 weighted[i] = least / (wa.sum() + wb.sum() - least)
@@ -222,27 +222,29 @@ class NearDuplicates:
     ``records(rid BIGINT unique, text)``; a row repeated whole counts once in all results. Null texts and texts of fewer than ``n`` words have no
     shingles and are in no class. Records with equal words are one class, whose least id
     represents it; only representatives are sampled, so copies never meet in a bucket. ``links``
-    has every pair of representatives found with weighted similarity ``threshold`` or more that also
-    have at least the plain similarity ``jaccard`` of their sets. ``threshold`` is by default what
-    that is at least worth in weights, so that the exact check decides.
+    has every pair of representatives found that have at least the plain similarity ``jaccard`` of
+    their sets and, where a ``threshold`` is given, at least that weighted one. Without it, pairs are sought
+    from what ``jaccard`` is at least worth in weights, and the exact check alone decides.
 
     Two records of weighted similarity ``threshold`` or more agree in one of ``bands`` bands of
     ``rows`` samples with probability 1 - (1 - s ** rows) ** bands at least; a bucket of any size is
     compared whole, in salted blocks of ``block`` rows. ``even`` bounds the weights: no idf counts
     less than that share of the greatest. Candidates whose sketches (eight bits
-    each of 32 samples) agree in fewer places than ``threshold`` gives, less two standard deviations, are
-    left out: about one in fifty of the pairs just at the threshold, and next to none of those well above.
+    each of 32 samples) agree in too few places are left out: at most a fifth of 1 - ``recall`` of the pairs
+    just at the threshold, and next to none of those well above. ``bands`` are by default as many as find the
+    share ``recall`` of pairs just at the threshold after that, 16 at least.
     """
 
-    def __init__(self, records: DataFrame, n: int = 5, jaccard: float = 0.8, threshold: float | None = None, bands: int = 16, rows: int = 2, rare: float = 1e-3, even: float = 0.5, block: int = 256, seed: int = 1):
-        threshold = weighted_floor(jaccard, 1 / even) if threshold is None else threshold
+    def __init__(self, records: DataFrame, n: int = 5, jaccard: float = 0.8, threshold: float | None = None, bands: int | None = None, rows: int = 2, rare: float = 1e-3, even: float = 0.5, block: int = 256, seed: int = 1, recall: float = 0.99):
+        sought = weighted_floor(jaccard, 1 / even) if threshold is None else threshold
+        least, bands = sketch_and_bands(sought, rows, recall, bands)
         spark = records.sparkSession
         words = F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
         named = records.select("rid", "text").filter("rid is not null and text is not null").withColumn("same", F.unhex(F.md5(words)))
-        self.all_sets = stage(named.mapInArrow(_shingle_batches(n), "rid long, same binary, sh array<long>, tf array<long>").filter("size(sh) > 0"), "shingles")
+        self.all_sets = stage(named.mapInArrow(_shingle_batches(n), "rid long, same binary, sh array<long>").filter("size(sh) > 0"), "shingles")
         self.classes = self.all_sets.groupBy("same").agg(F.min("rid").alias("rep"))
         copies = stage(self.all_sets.select("rid", "same").join(self.classes, "same").filter("rid <> rep").select("rid"), "copies")
-        sets = self.all_sets.select("rid", "sh", "tf").join(small(copies), "rid", "left_anti")
+        sets = self.all_sets.select("rid", "sh").join(small(copies), "rid", "left_anti")
 
         total = sets.count()
         floor = max(2, math.ceil(rare * total))
@@ -259,18 +261,16 @@ class NearDuplicates:
         left = met.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).drop("blocks")
         right = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         right = right.withColumnsRenamed({"rid": "b", **{f"s{i}": f"t{i}" for i in parts}})
-        p = threshold + (1 - threshold) / 256
-        least = math.floor((p - 2 * math.sqrt(p * (1 - p) / min(bands * rows, SKETCHED))) * SKETCHED)
         pairs = left.withColumnRenamed("rid", "a").join(right, ["band", "block"]).filter("a < b").filter(sum((_agreeing(f"s{i}", f"t{i}") for i in parts), F.lit(0)) >= least)
         candidates = stage(pairs.select("a", "b").distinct(), "candidates")
         ids = stage(candidates.select(F.col("a").alias("rid")).unionByName(candidates.select(F.col("b").alias("rid"))).distinct(), "ids")
         near = sets.join(small(ids), "rid", "left_semi")
         both = (
-            candidates.join(near.select(F.col("rid").alias("a"), F.col("sh").alias("sa"), F.col("tf").alias("ta")), "a")
-            .join(near.select(F.col("rid").alias("b"), F.col("sh").alias("sb"), F.col("tf").alias("tb")), "b")
+            candidates.join(near.select(F.col("rid").alias("a"), F.col("sh").alias("sa")), "a")
+            .join(near.select(F.col("rid").alias("b"), F.col("sh").alias("sb")), "b")
         )
         checked = both.mapInArrow(_verify(tables), "a long, b long, jaccard double, weighted double")
-        self.links = stage(checked.filter((F.col("weighted") >= threshold) & (F.col("jaccard") >= jaccard)), "links")
+        self.links = stage(checked.filter((F.col("weighted") >= (threshold or 0.0)) & (F.col("jaccard") >= jaccard)), "links")
 
     def members(self) -> DataFrame:
         """(rid, rep): the class of each record that has shingles."""
@@ -294,3 +294,18 @@ class NearDuplicates:
 def weighted_floor(jaccard: float, spread: float) -> float:
     """The least weighted similarity of two sets of a plain one, if no weight is over ``spread`` times another."""
     return jaccard / (jaccard + (1 - jaccard) * spread)
+
+
+def sketch_and_bands(sought: float, rows: int, recall: float, bands: int | None = None) -> tuple[int, int]:
+    """(places of a sketch that must agree, bands) that find the share ``recall`` of pairs of weighted similarity ``sought``.
+
+    Of what may be lost, a fifth at most goes to the sketch and the rest to the bands. Bands that are given stay.
+    """
+    n = SKETCHED if bands is None else min(bands * rows, SKETCHED)
+    p = sought + (1 - sought) / 256
+    agree, lost = 0, 0.0
+    while agree < n and (more := lost + math.comb(n, agree) * p**agree * (1 - p) ** (n - agree)) <= (1 - recall) / 5:
+        agree, lost = agree + 1, more
+    if bands is None:
+        bands = max(16, math.ceil(math.log(1 - recall - lost) / math.log1p(-(sought**rows)))) if 0 < sought < 1 else 16
+    return agree * (SKETCHED // n), bands

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from siftwright.llm.neardup import NearDuplicates, samples, shingles_of
+from siftwright.llm.neardup import NearDuplicates, samples, shingles_of, sketch_and_bands
 
 
 def made(n=40, seed=2):
@@ -73,3 +73,29 @@ def test_samples_agree_as_often_as_weighted_jaccard():
     true = sum(min(a.get(k, 0), b.get(k, 0)) for k in h.tolist()) / sum(max(a.get(k, 0), b.get(k, 0)) for k in h.tolist())
     s = samples(h[:200], wa, np.array([0]), 3000, 1)[0] == samples(h[100:], wb, np.array([0]), 3000, 1)[0]
     assert abs(s.mean() - true) < 0.03
+
+
+def test_a_text_pasted_twice_is_like_the_text_once(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, words, None, None), (2, f"{words} {words}", None, None), (3, "quite another text of seven words here", None, None)]
+    nd = NearDuplicates(spark.createDataFrame(rows, SCHEMA))
+    assert {(r.a, r.b) for r in nd.pairs().collect()} == brute(rows, 5, 0.8) == {(1, 2)}
+
+
+def test_pairs_at_the_least_weighted_similarity_are_found(spark):
+    """Plain similarity 0.5, all that is shared at the least weight, and all else at the greatest."""
+    r = random.Random(5)
+    rows = []
+    for k in range(300):
+        both = [f"c{i}" for i in r.sample(range(150), 40)]
+        rows += [(2 * k + side, " ".join(both + [f"x{k}-{side}-{i}" for i in range(20)]), None, None) for side in (0, 1)]
+    nd = NearDuplicates(spark.createDataFrame(rows, SCHEMA), n=1, jaccard=0.5)
+    got, want = {(x.a, x.b) for x in nd.pairs().collect()}, {(2 * k, 2 * k + 1) for k in range(300)}
+    assert brute(rows, 1, 0.5) == want and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_bands_for_a_recall():
+    for sought in (1 / 3, 2 / 3):
+        least, bands = sketch_and_bands(sought, 2, 0.99)
+        assert bands >= 16 and (1 - sought**2) ** bands < 0.01 and 0 < least < 32 * sought
+    assert sketch_and_bands(1 / 3, 2, 0.99, 40)[1] == 40
