@@ -115,6 +115,12 @@ def url_predicates(s, d):
     return ur.url_findings(u).filter(F.col("code") != "URL_SHORTENER").filter(F.col("code") != "URL_ENCODED_HOST")
 
 
+@query()
+def url_predicates_whole(s, d):
+    """Every finding of every URL: hosts in other scripts, schemes that run code, and what can't be read, too."""
+    return ur.url_findings(table(s, d, "urls").select("report_id", "url"))
+
+
 @query("""WITH x AS (SELECT report_id, first_seq, url, unnest(sources) AS source, generate_subscripts(sources, 1) AS i FROM urls WHERE regexp_matches(url, '^(https?|ftp)://')), f AS (SELECT report_id, url, source, min(first_seq * 1000 + i) AS pos FROM x GROUP BY ALL)
  SELECT report_id, url, CAST(min(pos) // 1000 AS BIGINT) AS first_seq, array_to_string(list(source ORDER BY pos, source), '|') AS sources FROM f GROUP BY report_id, url""")
 def url_collect(s, d):
@@ -130,6 +136,12 @@ def org_domain(s, d):
     return domains.with_org_domain(u, "host", "org").select("url_id", "org")
 
 
+@query()
+def org_domain_whole(s, d):
+    """The organisational domain of every URL's host, whatever letters it has; null where there is no host."""
+    return domains.with_org_domain(table(s, d, "urls").select("url_id", "host"), "host", "org").select("url_id", "org")
+
+
 _SUFFIXES = [("example", 1), ("co.example", 1), ("test", 2), ("www.test", 4)]
 
 
@@ -442,21 +454,37 @@ def misp_attributes(s, d):
 _MADE = "subject <> '' AND from_address <> '' AND regexp_matches(subject, '^[\\x21-\\x7E][\\x20-\\x7E]*[\\x21-\\x7E]$') AND NOT contains(subject, '=?') AND regexp_matches(from_address, '^[a-z0-9.]+@[a-z0-9.-]+$')"
 
 
-@query(f"""WITH m AS (SELECT delivery_id, report_id, subject, lower(from_address) AS sender FROM messages WHERE {_MADE}), h AS (SELECT report_id, count(*) AS hops FROM hops WHERE raw IS NOT NULL GROUP BY report_id)
- SELECT delivery_id, subject, sender, coalesce(hops, 0) AS hops FROM m LEFT JOIN h USING (report_id)""")
-def parse_round_trip(s, d):
-    """Messages written as bytes, with all their hops, and parsed again."""
+_PLAIN = r"^[\x21-\x7E][\x20-\x7E]*[\x21-\x7E]$"
+
+
+def _round_trip(s: SparkSession, d: str, messages: DataFrame) -> DataFrame:
     from siftwright.sources import parse
 
-    plain = F.col("subject").rlike(r"^[\x21-\x7E][\x20-\x7E]*[\x21-\x7E]$") & ~F.contains("subject", F.lit("=?")) & F.col("from_address").rlike("^[a-z0-9.]+@[a-z0-9.-]+$")
     stamps = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("idx")).alias("i"), F.col("hop_id").alias("k"), "raw"))), lambda x: F.concat(F.lit("Received: "), F.regexp_replace(x["raw"], r"[\r\n]+[ \t]*", " ")))
     hops = table(s, d, "hops").filter("raw is not null").groupBy("report_id").agg(F.array_join(stamps, "\r\n").alias("received"))
-    m = table(s, d, "messages").filter(plain).select("delivery_id", "report_id", "subject", "from_address").join(hops, "report_id", "left")
-    raw = F.concat(F.coalesce(F.concat("received", F.lit("\r\n")), F.lit("")), F.lit("From: "), "from_address", F.lit("\r\nSubject: "), "subject", F.lit("\r\n\r\nbody\r\n"))
+    m = messages.select("delivery_id", "report_id", "subject", "from_address").join(hops, "report_id", "left")
+    word = F.concat(F.lit("=?utf-8?B?"), F.regexp_replace(F.base64(F.encode("subject", "UTF-8")), r"\s", ""), F.lit("?="))
+    subject = F.when((F.col("subject") == "") | (F.col("subject").rlike(_PLAIN) & ~F.contains("subject", F.lit("=?"))), F.col("subject")).otherwise(word)
+    header = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
+    raw = F.concat(F.coalesce(F.concat("received", F.lit("\r\n")), F.lit("")), header("From", F.regexp_replace("from_address", r"[\r\n]+", " ")), header("Subject", subject), F.lit("\r\nbody\r\n"))
     got = parse.parsed(m.select(F.col("delivery_id").cast("string").alias("path"), F.encode(raw, "UTF-8").alias("content")))
     return got.select(F.col("path").cast("long").alias("delivery_id"), "subject", F.col("from_address").alias("sender"), F.size("hops").cast("long").alias("hops"))
 
 
+@query(f"""WITH m AS (SELECT delivery_id, report_id, subject, lower(from_address) AS sender FROM messages WHERE {_MADE}), h AS (SELECT report_id, count(*) AS hops FROM hops WHERE raw IS NOT NULL GROUP BY report_id)
+ SELECT delivery_id, subject, sender, coalesce(hops, 0) AS hops FROM m LEFT JOIN h USING (report_id)""")
+def parse_round_trip(s, d):
+    """Messages written as bytes, with all their hops, and parsed again."""
+    plain = F.col("subject").rlike(_PLAIN) & ~F.contains("subject", F.lit("=?")) & F.col("from_address").rlike("^[a-z0-9.]+@[a-z0-9.-]+$")
+    return _round_trip(s, d, table(s, d, "messages").filter(plain))
+
+
+@query()
+def parse_round_trip_whole(s, d):
+    """The same of every message: subjects that aren't plain go as encoded words, and absent fields have no header."""
+    return _round_trip(s, d, table(s, d, "messages"))
+
+
 @query("SELECT DISTINCT md5(text) AS digest FROM documents WHERE text <> ''")
 def watch_dedupe(s, d):
     """Texts that come in as a stream, each content once, until nothing more is there."""
