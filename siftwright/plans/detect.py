@@ -201,10 +201,13 @@ def links(urls: DataFrame, shown: DataFrame | None = None) -> DataFrame:
 
 
 def body(bodies: DataFrame) -> DataFrame:
-    """``bodies(report_id, mime_part, content_type, preview)``: invisible characters, and alternatives that say different things."""
+    """``bodies(report_id, mime_part, content_type, preview[, zero_width, bidi])``: invisible characters, and alternatives that say different things.
+
+    ``zero_width`` and ``bidi`` are counts over the whole text; without them the preview counts.
+    """
     b = bodies.withColumn("parent", F.regexp_replace("mime_part", r"\.?[^.]*$", "")).withColumn("words", tx.word_set(F.col("preview")))
-    text = F.col("preview")
-    hidden = findings_of(b, hit(tx.bidi_count(text) > 0, "TEXT_BIDI_CONTROL", "medium", F.lit("Body")), hit(tx.zero_width_count(text) > 0, "TEXT_ZERO_WIDTH", "low", F.lit("Body")))
+    bidi, zero_width = (F.col(c) if c in bodies.columns else count(F.col("preview")) for c, count in (("bidi", tx.bidi_count), ("zero_width", tx.zero_width_count)))
+    hidden = findings_of(b, hit(bidi > 0, "TEXT_BIDI_CONTROL", "medium", F.lit("Body")), hit(zero_width > 0, "TEXT_ZERO_WIDTH", "low", F.lit("Body")))
     side = lambda kind, x: b.filter(F.col("content_type") == kind).filter("parent <> ''").select("report_id", "parent", F.col("words").alias(x))
     both = side("text/plain", "p").join(side("text/html", "h"), ["report_id", "parent"]).filter("size(p) >= 15 and size(h) >= 15")
     return union([hidden, findings_of(both, hit(tx.jaccard(F.col("p"), F.col("h")) < 0.2, "BODY_ALTERNATIVES_DIFFER", "medium"))])

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.functions.filetype import detect, extension_of
+from siftwright.functions.text import BIDI, ZERO_WIDTH
 from siftwright.sources.html import read_page
 
 LARGEST, PREVIEW, MOST_PARTS, DEEPEST, NESTING, MOST_NESTED = 100 * 2**20, 4000, 1000, 20, 3, 20
@@ -37,7 +38,7 @@ SCHEMA = (
     "hops array<struct<idx: int, raw: string, from_host: string, from_ip: string, by_host: string, protocol: string, id: string, for_address: string, utc_us: bigint, offset_s: int, ip_is_private: boolean>>, "
     "auth_results array<struct<pos: int, authserv_id: string, method: string, result: string, properties: map<string, string>>>, "
     "parts array<struct<part: string, depth: int, content_type: string, charset: string, transfer_encoding: string, disposition: string, filename: string, size: bigint, sha256: string, is_attachment: boolean, defects: array<string>>>, "
-    "bodies array<struct<mime_part: string, content_type: string, length: bigint, preview: string, problem: string>>, "
+    "bodies array<struct<mime_part: string, content_type: string, length: bigint, preview: string, problem: string, zero_width: int, bidi: int>>, "
     "links array<struct<seq: int, part: string, source: string, url: string, text: string>>, "
     "pages array<struct<part: string, text: string, hidden: array<string>, forms: array<struct<action: string, method: string, input_types: array<string>>>, handlers: array<string>, scripts: int, frames: array<string>, refresh: string, base: string, pixels: array<string>, remote: int, images: int, truncated: boolean>>, "
     "attachments array<struct<part: string, filename: string, type_name: string, content_type: string, extension: string, detected_type: string, size: bigint, sha256: string, sha1: string, md5: string, payload: binary>>"
@@ -50,6 +51,12 @@ def clean(text: str | None) -> str | None:
     return None if text is None else text.encode("utf-8", "backslashreplace").decode("utf-8")
 
 
+def count_of(text: str, chars: str) -> int:
+    """How many of some characters a text holds; a leading byte order mark is none of them."""
+    text = text.removeprefix("\ufeff")
+    return sum(map(text.count, chars))
+
+
 def decoded(value: str) -> str:
     try:
         return str(make_header(decode_header(value)))
@@ -227,7 +234,7 @@ def _parts(row: dict, msg: Message, more: list[dict], path: str, depth: int) ->
             for m in _TEXT_URL.finditer(text):
                 if len(u := m[0].rstrip(".,;:!?)]}'\">")) > 4:
                     link(part, "text", u, None)
-        row["bodies"].append({"mime_part": part, "content_type": kind, "length": len(data), "preview": text[:PREVIEW], "problem": problem})
+        row["bodies"].append({"mime_part": part, "content_type": kind, "length": len(data), "preview": text[:PREVIEW], "problem": problem, "zero_width": count_of(text, ZERO_WIDTH), "bidi": count_of(text, BIDI)})
     row["links"] = links
 
 
