@@ -49,9 +49,19 @@ class Engine:
     def tables(self) -> parse.Evidence:
         return parse.Evidence(stage(parse.parsed(self.evidence, self.options.timeout), "parsed"))
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        return stage(payloads.facts(self.tables.attachments), "facts")
+
+    @cached_property
+    def scripts(self) -> DataFrame:
+        """(report_id, part, text) of attached scripts."""
+        return self.tables.attachments.filter(F.col("extension").isin(*sorted(EXECUTABLE)) & (F.col("size") < 2_000_000) & (F.col("detected_type").isNull() | (F.col("detected_type") == "script"))).select("report_id", "part", F.decode("payload", "ISO-8859-1").alias("text"))
+
     @cached_property
     def urls(self) -> DataFrame:
-        return ur.collect_urls(self.tables.links)
+        """All URLs of bodies, attached pages, documents, shortcuts and scripts; the many of one part take no place from another's."""
+        return ur.collect_urls(self.tables.links.unionByName(payloads.links(self.facts, self.scripts)), 2**31 - 1)
 
     @cached_property
     def members(self) -> DataFrame:
@@ -69,12 +79,12 @@ class Engine:
         sent = m.select("report_id", F.explode(F.array_compact(F.concat(F.array("from_address", "return_path", "sender"), F.coalesce("reply_to", F.array().cast("array<string>"))))).alias("a"))
         hosts = sent.select("report_id", F.lower(F.substring_index("a", "@", -1)).alias("host"), F.lit("From").alias("location")).unionByName(self.urls.filter("host is not null").select("report_id", "host", F.lit("URL").alias("location"))).distinct()
         like = hosts.join(imitation.imitations(hosts.select("host"), protected), "host").select("report_id", "code", "severity", "location", F.to_json(F.struct("host", "imitates")).alias("evidence")).dropDuplicates(["report_id", "code", "location", "evidence"])
-        scripts = t.attachments.filter(F.col("extension").isin(*sorted(EXECUTABLE)) & (F.col("size") < 2_000_000) & (F.col("detected_type").isNull() | (F.col("detected_type") == "script"))).select("report_id", "part", F.decode("payload", "ISO-8859-1").alias("text"))
+        in_bodies = t.links.join(t.attachments.select("report_id", "part"), ["report_id", "part"], "left_anti")
         errors = detect.findings_of(m, detect.hit(F.col("error") == "ANALYSIS_TIMEOUT", "ANALYSIS_TIMEOUT", "medium"), detect.hit(F.col("error") != "ANALYSIS_TIMEOUT", "ANALYZER_ERROR", "low", None, error=F.col("error")), detect.hit(F.col("msg_format") == "msg", "MSG_SOURCE", "info"))
         every = detect.union([
             detect.header_structure(m, t.headers), detect.sender_identity(m), detect.timeline(m, t.hops), detect.authentication(m, t.auth_results), detect.sending_software(m), detect.provider_path(m, t.hops), detect.provider_verdicts(m), names.impersonation(m, own),
-            detect.links(self.urls, t.links), detect.body(t.bodies), detect_files.pages(t.pages), detect_files.attachments(t.attachments), detect_files.archives(archives.archives(self.members, t.attachments), t.bodies), detect_files.script_files(scripts),
-            payloads.findings(payloads.facts(t.attachments), t.attachments), like, errors,
+            detect.links(self.urls, in_bodies), detect.body(t.bodies), detect_files.pages(t.pages), detect_files.attachments(t.attachments), detect_files.archives(archives.archives(self.members, t.attachments), t.bodies), detect_files.script_files(self.scripts),
+            payloads.findings(self.facts, t.attachments), like, errors,
         ])
         every = stage(every.distinct(), "findings")
         return every.unionByName(detect.nested(m, every).select(*every.columns))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.functions.filetype import detect, extension_of
+from siftwright.functions.filetype import PAGE, TYPES, detect, extension_of
 from siftwright.functions.text import BIDI, ZERO_WIDTH
 from siftwright.sources.html import read_page
 
@@ -217,6 +217,11 @@ def _parts(row: dict, msg: Message, more: list[dict], path: str, depth: int) ->
         if apart:
             named = leaf.get_param("name")
             row["attachments"].append({"part": part, "filename": name, "type_name": clean(str(named if not isinstance(named, tuple) else named[2])) if named else None, "content_type": kind, "extension": extension_of(name), "detected_type": detect(data), "size": len(data), "sha256": digest, "sha1": hashlib.sha1(data).hexdigest(), "md5": hashlib.md5(data).hexdigest(), "payload": data})
+            if extension_of(name) in PAGE or TYPES.get(detect(data), ("",))[0] == "html":
+                page = read_page(clean(text_of(data, "utf-8")[0]))
+                for source, url, t in page["links"]:
+                    link(part, source, url, t)
+                row["pages"].append({"part": part, **{k: v for k, v in page.items() if k != "links"}})
             continue
         text, problem = text_of(data, leaf.get_content_charset())
         text = clean(text)

