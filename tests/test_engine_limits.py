@@ -3,6 +3,7 @@
 import base64
 
 from siftwright.engine import Engine
+from siftwright.operators import imitation
 from siftwright.plans import detect
 from siftwright.sources import parse
 
@@ -41,3 +42,10 @@ def test_attached_pages_documents_and_scripts_are_read(spark):
     assert urls["http://pdf.test:8080/x"] == ["3:pdf-uri"] and urls["http://9.8.7.6/p.ps1"] == ["4:script"] and any(x.startswith("2:") for x in urls["http://u@1.2.3.4/"])
     values = {r.value for r in e.indicators.filter("type in ('url', 'domain', 'ipv4')").collect()}
     assert {"http://pdf.test:8080/x", "pdf.test", "9.8.7.6", "1.2.3.4"} <= values
+
+
+def test_whole_domains_in_front_wherever_they_begin(spark):
+    hosts = ["paypal.com-secure.evil.example", "www-paypal.com.evil.example", "a.paypal.com.evil.example", "paypal.evil.example", "a.b.c.d.bank.test.evil.example"]
+    protected = spark.createDataFrame([("paypal.com", "brand"), ("a.b.c.d.bank.test", "org")], "domain string, kind string")
+    got = {(r.host, r.severity, r.imitates) for r in imitation.imitations(spark.createDataFrame([(h,) for h in hosts], "host string"), protected).filter("code = 'LOOKALIKE_BRAND_IN_SUBDOMAIN'").collect()}
+    assert got == {(h, "high", "paypal.com") for h in hosts[:3]} | {(hosts[3], "medium", "paypal.com"), (hosts[4], "high", "a.b.c.d.bank.test")}
