@@ -139,7 +139,7 @@ def _around(kind: str, near: tuple[list[str], list[str]]) -> list[str]:
 _CAPITAL, _NUMERAL = re.compile(rf"(?<!\w)[{_UP}]"), re.compile(r"(?<!\w)(?:\d+|[XYZ]\d)")
 _BY_CAPITAL = ("given", "middle", "initial", "tail", "lead")
 #: The lengths that the first run of digits of a form can have; 0 stands for a letter before it.
-_BY_NUMERAL = {"after": (1, 2, 3, 4), "way": (1, 2, 3, 4), "ssn": (3, 9), "dni": (0, 8), "nir": (1, 13, 15)}
+_BY_NUMERAL = {"after": (1, 2, 3, 4), "way": (1, 2, 3, 4), "ssn": (3, 9), "dni": (0, 8), "nir": (1, 6, 13, 15)}
 
 
 def _matches(name: str, pattern: re.Pattern, text: str, starts: dict[str, list[tuple[int, int]]]) -> Iterator[re.Match]:

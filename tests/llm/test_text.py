@@ -85,3 +85,16 @@ def test_tables(spark, model):
     assert pii.found(df.limit(0), model).count() == 0
     m = pii.model_of(spark.createDataFrame([("Grace", "given"), (None, "given"), ("", "family"), ("Kalmault", "family"), ("x", "other")], "name string, kind string"))
     assert m.names.given == {"grace"} and m.names.family == {"kalmault"}
+
+
+@pytest.mark.parametrize("department", ["2A", "2B", "75"])
+def test_nir_with_and_without_separators(department):
+    from siftwright.llm.pii import _ids
+
+    body = ["1", "84", "07", department, "123", "456"]
+    key = f"{nir_key(''.join(body).replace('2A', '19').replace('2B', '18')):02d}"
+    for sep in ("", " ", "-", "."):
+        number = sep.join([*body, key])
+        text = f"her number is {number} since then"
+        got = [(text[a:b], f) for a, b, _, f in _ids(text, {}) if text[a:b] == number]
+        assert any("id|nir=True" in f for _, f in got)
