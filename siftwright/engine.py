@@ -56,7 +56,7 @@ class Engine:
     @cached_property
     def scripts(self) -> DataFrame:
         """(report_id, part, text) of attached scripts."""
-        return self.tables.attachments.filter(F.col("extension").isin(*sorted(EXECUTABLE)) & (F.col("size") < 2_000_000) & (F.col("detected_type").isNull() | (F.col("detected_type") == "script"))).select("report_id", "part", F.decode("payload", "ISO-8859-1").alias("text"))
+        return self.tables.attachments.filter(F.col("extension").isin(*sorted(EXECUTABLE)) & (F.col("detected_type").isNull() | (F.col("detected_type") == "script"))).select("report_id", "part", F.decode("payload", "ISO-8859-1").alias("text"))
 
     @cached_property
     def urls(self) -> DataFrame:

@@ -44,7 +44,7 @@ def attachments(found: DataFrame) -> DataFrame:
     endings = F.create_map(*[F.lit(x) for k, (_, e) in TYPES.items() for x in (k, e)])
     expected = F.create_map(*[F.lit(x) for kv in DECLARED.items() for x in kv])
     a = found.withColumn("kind", F.try_element_at(kinds, F.col("detected_type"))).withColumn("fits", F.split(F.try_element_at(endings, F.col("detected_type")), " ")).withColumn("expected", F.split(F.try_element_at(expected, F.col("content_type")), " "))
-    a = a.withColumn("labels", F.transform(F.split(F.lower("filename"), r"\."), lambda x: F.trim(x))).withColumn("head", F.decode(F.substring("payload", 1, 2_000_000), "ISO-8859-1"))
+    a = a.withColumn("labels", F.transform(F.split(F.lower("filename"), r"\."), lambda x: F.trim(x))).withColumn("whole", F.decode("payload", "ISO-8859-1"))
     ext, kind, name, at = F.col("extension"), F.col("kind"), F.col("filename"), F.col("part")
     one = lambda values: F.coalesce(ext.isin(sorted(values)), F.lit(False))
     is_kind = lambda k: F.coalesce(kind == k, F.lit(False))
@@ -53,14 +53,14 @@ def attachments(found: DataFrame) -> DataFrame:
     unlike = ext.isNotNull() & kind.isNotNull() & ~F.array_contains("fits", ext) & ~((kind == "image") & image_name)
     declared = F.col("detected_type").isNotNull() & ((F.col("expected").isNotNull() & ~F.array_contains("expected", F.col("detected_type"))) | (F.col("content_type").startswith("image/") & (kind != "image") & (F.col("detected_type") != "svg")))
     page = one(PAGE) | is_kind("html")
-    marks = F.size(F.array_distinct(F.transform(F.regexp_extract_all("head", F.lit(SMUGGLING), F.lit(0)), lambda x: F.lower(F.trim(x)))))
-    smuggles = page & F.col("head").rlike(r"(?i)<script[\s>]") & (F.col("head").rlike(r"[A-Za-z0-9+/]{4000,}") | (marks >= 2))
-    macro = F.col("detected_type").isin("docx", "xlsx", "pptx") & F.lower("head").contains("vbaproject.bin") | ((F.col("detected_type") == "ole") & (F.contains(F.hex(F.col("payload")), F.lit("5F005600420041005F00500052004F004A00450043005400")) | F.contains(F.col("head"), F.lit("_VBA_PROJECT"))))
+    marks = F.size(F.array_distinct(F.transform(F.regexp_extract_all("whole", F.lit(SMUGGLING), F.lit(0)), lambda x: F.lower(F.trim(x)))))
+    smuggles = page & F.col("whole").rlike(r"(?i)<script[\s>]") & (F.col("whole").rlike(r"[A-Za-z0-9+/]{4000,}") | (marks >= 2))
+    macro = F.col("detected_type").isin("docx", "xlsx", "pptx") & F.lower("whole").contains("vbaproject.bin") | ((F.col("detected_type") == "ole") & (F.contains(F.hex(F.col("payload")), F.lit("5F005600420041005F00500052004F004A00450043005400")) | F.contains(F.col("whole"), F.lit("_VBA_PROJECT"))))
     ev = {"filename": name}
     return findings_of(
         a, hit(one(EXECUTABLE) | is_kind("executable"), "ATT_EXECUTABLE", "high", at, **ev), hit(one(DISK_IMAGE) | is_kind("disk-image"), "ATT_DISK_IMAGE", "high", at, **ev), hit(one(NOTEBOOK) | F.coalesce(F.col("detected_type") == "onenote", F.lit(False)), "ATT_ONENOTE", "high", at, **ev),
         hit(page, "ATT_HTML", "medium", at, **ev), hit(smuggles, "ATT_HTML_SMUGGLING", "high", at, **ev), hit(one(MACRO), "ATT_MACRO_EXTENSION", "medium", at, **ev), hit(F.coalesce(macro, F.lit(False)), "ATT_OFFICE_MACRO", "high", at, **ev),
-        hit((F.col("detected_type") == "rtf") & F.col("head").rlike(r"\\objdata|\\objupdate|\\objocx"), "ATT_RTF_OBJECT", "high", at, **ev), hit(name.rlike(r"[/\\]|^\.\."), "ATT_FILENAME_PATH", "medium", at, **ev), hit(double, "ATT_DOUBLE_EXTENSION", "high", at, **ev),
+        hit((F.col("detected_type") == "rtf") & F.col("whole").rlike(r"\\objdata|\\objupdate|\\objocx"), "ATT_RTF_OBJECT", "high", at, **ev), hit(name.rlike(r"[/\\]|^\.\."), "ATT_FILENAME_PATH", "medium", at, **ev), hit(double, "ATT_DOUBLE_EXTENSION", "high", at, **ev),
         hit(name.rlike(r"(?:\s{3,}|_{5,})\.\w+$"), "ATT_FILENAME_PADDING", "medium", at, **ev), hit(F.col("type_name").isNotNull() & name.isNotNull() & (F.col("type_name") != name), "ATT_FILENAME_CONFLICT", "medium", at, **ev),
         hit(unlike, "ATT_TYPE_MISMATCH", F.when(kind.isin("executable", "disk-image", "html"), "high").otherwise("medium"), at, extension=ext, detected=F.col("detected_type")), hit(declared, "ATT_DECLARED_TYPE_MISMATCH", "medium", at, declared=F.col("content_type"), detected=F.col("detected_type")),
         hit(kind.isin("archive") & F.col("detected_type").isin("rar", "7z", "cab", "ace"), "ATT_ARCHIVE_UNINSPECTED", "low", at, **ev), hit(tx.bidi_count(name) > 0, "TEXT_BIDI_CONTROL", "high", at), hit(tx.zero_width_count(name) > 0, "TEXT_ZERO_WIDTH", "medium", at),
@@ -81,7 +81,8 @@ def archives(found: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def script_files(found: DataFrame) -> DataFrame:
     """Findings of ``found(report_id, part, text)`` scripts."""
-    s = found.withColumn("commands", scripts.commands("text")).withColumn("ind", scripts.indicators(F.concat_ws("\n", "text", F.array_join("commands", "\n"))))
+    # Exploded, so that long texts are searched once and not by each condition again.
+    s = found.withColumn("commands", scripts.commands("text")).withColumn("ind", F.explode(F.array(scripts.indicators(F.concat_ws("\n", "text", F.array_join("commands", "\n"))))))
     has = lambda k: F.map_contains_key("ind", k)
     both, at = has("downloader") & has("execution"), F.col("part")
     return findings_of(

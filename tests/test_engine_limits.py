@@ -49,3 +49,10 @@ def test_whole_domains_in_front_wherever_they_begin(spark):
     protected = spark.createDataFrame([("paypal.com", "brand"), ("a.b.c.d.bank.test", "org")], "domain string, kind string")
     got = {(r.host, r.severity, r.imitates) for r in imitation.imitations(spark.createDataFrame([(h,) for h in hosts], "host string"), protected).filter("code = 'LOOKALIKE_BRAND_IN_SUBDOMAIN'").collect()}
     assert got == {(h, "high", "paypal.com") for h in hosts[:3]} | {(hosts[3], "medium", "paypal.com"), (hosts[4], "high", "a.b.c.d.bank.test")}
+
+
+def test_large_scripts_and_pages_are_read_whole(spark):
+    padding = b"# padding\n" * 210_000
+    files = ("a.ps1", padding + b"vssadmin delete shadows"), ("b.html", b"<html><!--" + padding + b"--><script>new Blob([atob('x')])</script></html>"), ("c.rtf", b"{\\rtf1 " + padding + b"{\\object\\objdata 00}}")
+    e = engine(spark, mail(*files))
+    assert {("2", "SCRIPT_RANSOMWARE"), ("3", "ATT_HTML_SMUGGLING"), ("4", "ATT_RTF_OBJECT")} <= {(r.location, r.code) for r in e.detected.collect()}
