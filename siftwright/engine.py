@@ -82,7 +82,7 @@ class Engine:
         in_bodies = t.links.join(t.attachments.select("report_id", "part"), ["report_id", "part"], "left_anti")
         errors = detect.findings_of(m, detect.hit(F.col("error") == "ANALYSIS_TIMEOUT", "ANALYSIS_TIMEOUT", "medium"), detect.hit(F.col("error") != "ANALYSIS_TIMEOUT", "ANALYZER_ERROR", "low", None, error=F.col("error")), detect.hit(F.col("msg_format") == "msg", "MSG_SOURCE", "info"))
         every = detect.union([
-            detect.header_structure(m, t.headers), detect.sender_identity(m), detect.timeline(m, t.hops), detect.authentication(m, t.auth_results), detect.sending_software(m), detect.provider_path(m, t.hops), detect.provider_verdicts(m), names.impersonation(m, own),
+            detect.header_structure(m, t.headers), detect.sender_identity(m), detect.timeline(m, t.hops), detect.authentication(m, t.auth_results), detect.sending_software(m), detect.provider_path(m, t.hops), detect.provider_verdicts(m), names.impersonation(m, own), detect.limits(m),
             detect.links(self.urls, in_bodies), detect.body(t.bodies), detect_files.pages(t.pages), detect_files.attachments(t.attachments), detect_files.archives(archives.archives(self.members, t.attachments), t.bodies), detect_files.script_files(self.scripts),
             payloads.findings(self.facts, t.attachments), like, errors,
         ])

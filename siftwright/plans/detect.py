@@ -213,6 +213,11 @@ def body(bodies: DataFrame) -> DataFrame:
     return union([hidden, findings_of(both, hit(tx.jaccard(F.col("p"), F.col("h")) < 0.2, "BODY_ALTERNATIVES_DIFFER", "medium"))])
 
 
+def limits(messages: DataFrame) -> DataFrame:
+    """What the parse stage left out of ``messages(report_id, limits)``."""
+    return findings_of(messages.select("report_id", F.explode("limits").alias("limit")), hit(F.lit(True), F.col("limit"), "medium"))
+
+
 def nested(messages: DataFrame, findings: DataFrame) -> DataFrame:
     """What attached messages pass on to the messages that carry them."""
     from siftwright.plans.score import SEVERITIES, severity_rank

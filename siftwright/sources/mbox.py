@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-MOST_MESSAGES = 1_000_000
 _START = re.compile(rb"^From \S.*\d{4}\s*$")
 _QUOTED = re.compile(rb"^>+From ")
 
@@ -60,8 +59,6 @@ class MboxReader(DataSourceReader):
             sha = hashlib.file_digest(f, "sha256").hexdigest()
         with open(partition.path, "rb") as f:
             for i, data in enumerate(split_mailbox(iter(f))):
-                if i >= MOST_MESSAGES:
-                    return
                 yield f"{partition.path}#{i}", data, "mbox", partition.path, sha
 
 

@@ -33,7 +33,7 @@ SCHEMA = (
     "report_id string, path string, msg_format string, sha256 string, md5 string, size_bytes long, container string, container_sha256 string, parent_report_id string, mime_part string, depth int, "
     "subject string, date_hdr string, date_us long, date_offset_s int, message_id string, from_address string, from_display_name string, from_count int, return_path string, sender string, "
     "reply_to array<string>, to_addrs array<string>, cc_addrs array<string>, x_mailer string, x_originating_ip string, php_script string, forefront string, antispam string, scl string, auth_as string, "
-    "spam_status string, spam_flag string, header_count int, defects array<string>, error string, "
+    "spam_status string, spam_flag string, header_count int, defects array<string>, error string, limits array<string>, "
     "headers array<struct<pos: int, name: string, raw: string, decoded: string>>, "
     "hops array<struct<idx: int, raw: string, from_host: string, from_ip: string, by_host: string, protocol: string, id: string, for_address: string, utc_us: bigint, offset_s: int, ip_is_private: boolean>>, "
     "auth_results array<struct<pos: int, authserv_id: string, method: string, result: string, properties: map<string, string>>>, "
@@ -156,7 +156,7 @@ def parse_message(path: str, data: bytes, fmt: str = "eml", container: str | Non
     sha = hashlib.sha256(data).hexdigest()
     row: dict = {"report_id": f"{sha}-{hashlib.sha256(path.encode('utf-8', 'backslashreplace')).hexdigest()[:8]}", "path": path, "msg_format": fmt, "sha256": sha, "md5": hashlib.md5(data).hexdigest(), "size_bytes": len(data)}
     row |= {"container": container, "container_sha256": container_sha256, "parent_report_id": parent, "mime_part": mime_part, "depth": depth}
-    for k in ("headers", "hops", "auth_results", "parts", "bodies", "links", "pages", "attachments", "reply_to", "to_addrs", "cc_addrs", "defects"):
+    for k in ("headers", "hops", "auth_results", "parts", "bodies", "links", "pages", "attachments", "reply_to", "to_addrs", "cc_addrs", "defects", "limits"):
         row[k] = []
     more: list[dict] = []
     try:
@@ -197,13 +197,18 @@ def _parts(row: dict, msg: Message, more: list[dict], path: str, depth: int) ->
 
     for n, (part, at, leaf) in enumerate(leaves(msg)):
         if n >= MOST_PARTS:
+            row["limits"].append("MIME_TOO_MANY_PARTS")
             break
         kind = leaf.get_content_type()
         inner = leaf.get_payload()
+        if leaf.get_content_maintype() == "multipart" and isinstance(inner, list) and "MIME_TOO_DEEP" not in row["limits"]:
+            row["limits"].append("MIME_TOO_DEEP")
         if kind == "message/rfc822" and isinstance(inner, list) and inner:
             data = _bytes_of(inner[0])
             if depth < NESTING and len(more) < MOST_NESTED:
                 more += parse_message(f"{path}!{part}", data, "attached", None, None, row["report_id"], part, depth + 1)
+            elif "NESTED_MESSAGE_SKIPPED" not in row["limits"]:
+                row["limits"].append("NESTED_MESSAGE_SKIPPED")
         else:
             try:
                 data = leaf.get_payload(decode=True) or b""
@@ -275,11 +280,16 @@ def parsed(evidence: DataFrame, timeout: float | None = None) -> DataFrame:
             out = []
             for r in f.to_dict("records"):
                 kw = {("fmt" if k == "msg_format" else k): r[k] for k in given if r[k] is not None}
-                out += _in_time(timeout, r["path"], bytes(r["content"]), **kw)
+                if r["_size"] > largest:
+                    out.append(parse_message(r["path"], b"", **kw)[0] | {"sha256": r["_sha"], "md5": None, "size_bytes": r["_size"], "error": f"too large: {r['_size']} bytes"})
+                else:
+                    out += _in_time(timeout, r["path"], bytes(r["content"]), **kw)
             full = [{k: r.get(k) for k in TOP} for r in out]
             yield pd.DataFrame(full, columns=TOP)
 
-    return evidence.filter(F.length("content") <= LARGEST).select("path", "content", *given).mapInPandas(run, SCHEMA)
+    size, largest = F.length("content"), LARGEST
+    whole = F.when(size <= largest, F.col("content")).alias("content")
+    return evidence.filter("content is not null").select("path", whole, *given, size.alias("_size"), F.when(size > LARGEST, F.sha2("content", 256)).alias("_sha")).mapInPandas(run, SCHEMA)
 
 
 def _top_level(ddl: str) -> list[str]:

@@ -56,3 +56,17 @@ def test_large_scripts_and_pages_are_read_whole(spark):
     files = ("a.ps1", padding + b"vssadmin delete shadows"), ("b.html", b"<html><!--" + padding + b"--><script>new Blob([atob('x')])</script></html>"), ("c.rtf", b"{\\rtf1 " + padding + b"{\\object\\objdata 00}}")
     e = engine(spark, mail(*files))
     assert {("2", "SCRIPT_RANSOMWARE"), ("3", "ATT_HTML_SMUGGLING"), ("4", "ATT_RTF_OBJECT")} <= {(r.location, r.code) for r in e.detected.collect()}
+
+
+def test_what_limits_leave_out_is_told(spark, monkeypatch, tmp_path):
+    many = b"Content-Type: multipart/mixed; boundary=b\r\n\r\n" + b"--b\r\n\r\nx\r\n" * 1001 + b"--b--\r\n"
+    deep = b"".join(b"Content-Type: multipart/mixed; boundary=b%d\r\n\r\n--b%d\r\n" % (i, i) for i in range(22)) + b"\r\nx\r\n"
+    inner = b"Subject: s\r\n\r\nx\r\n"
+    for _ in range(5):
+        inner = b"Content-Type: message/rfc822\r\n\r\n" + inner
+    rows = [parse.parse_message("x", m) for m in (many, deep, inner, b"Subject: s\r\n\r\nx")]
+    assert [sorted({x for r in each for x in r["limits"]}) for each in rows] == [["MIME_TOO_MANY_PARTS"], ["MIME_TOO_DEEP"], ["NESTED_MESSAGE_SKIPPED"], []]
+    monkeypatch.setattr(parse, "LARGEST", 1000)
+    small, large = (parse.parsed(spark.createDataFrame([("s", b"Subject: s\r\n\r\nx"), ("l", bytes(1001))], "path string, content binary")).orderBy(parse.F.desc("path")).collect())
+    assert small.error is None and large.size_bytes == 1001 and large.error.startswith("too large")
+    assert {(r.code, r.severity) for r in detect.limits(spark.createDataFrame([("r", ["MIME_TOO_DEEP"])], "report_id string, limits array<string>")).collect()} == {("MIME_TOO_DEEP", "medium")}
