@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.functions import urls as ur
@@ -94,7 +94,7 @@ class Engine:
         """Findings in order of their place, after rules and suppression."""
         found = self.detected
         if self.options.rules:
-            base = score.assess(self.tables.messages, self._placed(found))
+            base = score.assess(self.tables.messages, score.placed(found))
             grouped = found.groupBy("report_id").agg(F.collect_list(F.struct("code", "severity")).alias("findings"))
             one = self.tables.messages.join(grouped, "report_id", "left").join(base.select("report_id", "score", "verdict"), "report_id", "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<struct<code:string,severity:string>>")))
             fields = rules.message_fields() | {"score": F.array(F.col("score").cast("string")), "verdict": F.array("verdict"), "findings": F.transform("findings", lambda f: f["code"])}
@@ -103,12 +103,7 @@ class Engine:
             severities = F.create_map(*[F.lit(x) for r in self.options.rules for x in (f"RULE_{r.id}", r.severity)])
             new = done.select("report_id", F.explode("matched").alias("code")).withColumn("severity", F.try_element_at(severities, F.col("code"))).withColumn("location", F.lit(None).cast("string")).withColumn("evidence", F.lit(None).cast("string"))
             found = found.join(gone, ["report_id", "code"], "left_anti").select(*detect.COLUMNS).unionByName(new.select(*detect.COLUMNS))
-        return self._placed(found)
-
-    @staticmethod
-    def _placed(found: DataFrame) -> DataFrame:
-        w = Window.partitionBy("report_id").orderBy(F.desc(score.severity_rank(F.col("severity"))), "code", "location", "evidence")
-        return found.withColumn("seq", F.row_number().over(w))
+        return score.placed(found)
 
     @cached_property
     def assessments(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwright.functions import filetype, ip, similarity, urls
-from siftwright.functions.domains import org_domain_udf
+from siftwright.functions.domains import org_domain, suffix_pattern, suffix_rules
 
 
 @F.pandas_udf(T.StringType())
@@ -57,7 +57,12 @@ class MboxMessages:
 
 def register(spark: SparkSession) -> None:
     """Register all of them with a session."""
-    for name, f in (("org_domain", org_domain_udf(spark)), ("skeleton", similarity.skeleton), ("decode_idna", similarity.decode_idna), ("osa_distance", osa_distance), ("detect_type", detect_type), ("split_url", urls.split_url), ("ip_is_private", ip.ip_is_private)):
+    if suffix_rules(spark) is None:
+        pattern = suffix_pattern().replace("\\", "\\\\")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION org_domain(host STRING) RETURNS STRING RETURN nullif(regexp_extract(regexp_replace(lower(trim(host)), '[.]+$', ''), '{pattern}', 0), '')")
+    else:
+        spark.udf.register("org_domain", org_domain(spark))
+    for name, f in (("skeleton", similarity.skeleton), ("decode_idna", similarity.decode_idna), ("osa_distance", osa_distance), ("detect_type", detect_type), ("split_url", urls.split_url), ("ip_is_private", ip.ip_is_private)):
         spark.udf.register(name, f)
     for name, cls, kind in (
         ("mime_parts", MimeParts, "part string, content_type string, filename string, size long, sha256 string"), ("archive_members", ArchiveMembers, "container string, name string, size long, encrypted boolean, sha256 string"), ("mbox_messages", MboxMessages, "idx int, content binary"),

@@ -60,6 +60,11 @@ def defang(col: Column) -> Column:
     return F.replace(F.replace(out, F.lit("."), F.lit("[.]")), F.lit("@"), F.lit("[@]"))
 
 
+def email_addresses(col: Column) -> Column:
+    """The addresses in a text, in lower case and in their order; an empty array for none, null for null."""
+    return F.transform(F.regexp_extract_all(col, F.lit(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), F.lit(0)), lambda x: F.lower(x))
+
+
 def word_set(col: Column) -> Column:
     """The distinct words of three letters or more, in lower case."""
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(r"\p{L}{3,}"), F.lit(0)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions import text as tx
-from siftwright.functions.domains import domain_of, org_domain_udf
+from siftwright.functions.domains import domain_of, org_domain
 from siftwright.functions.urls import link_text_host, split_url, url_findings
 
 COLUMNS = ["report_id", "code", "severity", "location", "evidence"]
@@ -63,9 +63,14 @@ def mailer_of(x_mailer: Column) -> Column:
     return out
 
 
+def repeated_headers(headers: DataFrame) -> DataFrame:
+    """(report_id, name, n) of what stands more than once in ``headers(report_id, name)`` and may stand once."""
+    return headers.filter(F.lower("name").isin([s.lower() for s in SINGLE])).groupBy("report_id", F.lower("name").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def header_structure(messages: DataFrame, headers: DataFrame) -> DataFrame:
     """Repeated, missing and unreadable headers, parser defects, invisible characters."""
-    repeated = headers.filter(F.lower("name").isin([s.lower() for s in SINGLE])).groupBy("report_id", F.lower("name").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = repeated_headers(headers)
     has = headers.groupBy("report_id").agg(F.bool_or(F.lower("name") == "date").alias("has_date"), F.bool_or(F.lower("name") == "from").alias("has_from"))
     m = messages.join(has, "report_id", "left")
     none = lambda c: ~F.coalesce(F.col(c), F.lit(False))
@@ -85,8 +90,8 @@ def header_structure(messages: DataFrame, headers: DataFrame) -> DataFrame:
 
 def sender_identity(messages: DataFrame) -> DataFrame:
     """Addresses of one message that belong to different organisations."""
-    org = org_domain_udf(messages.sparkSession)
-    shown = F.transform(F.regexp_extract_all(F.col("from_display_name"), F.lit(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), F.lit(0)), lambda x: F.lower(x))
+    org = org_domain(messages.sparkSession)
+    shown = tx.email_addresses(F.col("from_display_name"))
     m = messages.withColumn("from_org", org(domain_of(F.col("from_address"))))
     m = m.withColumn("path_org", org(domain_of(F.col("return_path")))).withColumn("sender_org", org(domain_of(F.col("sender")))).withColumn("mid_host", domain_of(F.trim("message_id"))).withColumn("mid_org", org("mid_host"))
     other = lambda c: F.col("from_org").isNotNull() & F.col(c).isNotNull() & (F.col(c) != F.col("from_org"))
@@ -109,12 +114,17 @@ def with_delays(hops: DataFrame) -> DataFrame:
     return hops.withColumn("delay_seconds", (F.col("utc_us") - F.last("utc_us", ignorenulls=True).over(w)) / 1e6)
 
 
+def origins(hops: DataFrame) -> DataFrame:
+    """(report_id, ip, host, hop): the oldest hop that came from a public address."""
+    public = hops.filter("from_ip is not null and not ip_is_private")
+    return public.groupBy("report_id").agg(F.min_by(F.struct("from_ip", "from_host", "idx"), "idx").alias("o")).select("report_id", F.col("o.from_ip").alias("ip"), F.col("o.from_host").alias("host"), F.col("o.idx").alias("hop"))
+
+
 def timeline(messages: DataFrame, hops: DataFrame) -> DataFrame:
     """Hops without stamps, back in time or long under way, and dates that don't fit them."""
     d = with_delays(hops)
     span = hops.filter("utc_us is not null").groupBy("report_id").agg(F.min_by("utc_us", "idx").alias("first_us"), F.max_by("utc_us", "idx").alias("last_us"))
-    origin = hops.filter("from_ip is not null and not ip_is_private").groupBy("report_id").agg(F.min_by(F.struct("from_ip", "from_host", "idx"), "idx").alias("o"))
-    m = messages.select("report_id", "date_us", "x_originating_ip").join(span, "report_id", "left").join(hops.groupBy("report_id").agg(F.count("*").alias("n_hops")), "report_id", "left").join(origin, "report_id", "left")
+    m = messages.select("report_id", "date_us", "x_originating_ip").join(span, "report_id", "left").join(hops.groupBy("report_id").agg(F.count("*").alias("n_hops")), "report_id", "left").join(origins(hops), "report_id", "left")
     late = (F.col("date_us") - F.col("last_us")) / 1e6 > TOLERANCE_S
     skew = F.abs(F.col("first_us") - F.col("date_us")) / 1e6 > SKEW_S
     stamped = F.col("date_us").isNotNull() & F.col("last_us").isNotNull()
@@ -125,14 +135,14 @@ def timeline(messages: DataFrame, hops: DataFrame) -> DataFrame:
         ),
         findings_of(
             m, hit(F.coalesce("n_hops", F.lit(0)) == 0, "RCV_NO_HOPS", "low"), hit(stamped & late, "HDR_DATE_AFTER_DELIVERY", "medium"), hit(stamped & ~late & skew, "HDR_DATE_SKEW", "low"),
-            hit(F.col("o").isNotNull(), "RCV_ORIGIN_IP", "info", None, ip=F.col("o.from_ip"), host=F.col("o.from_host"), hop=F.col("o.idx")), hit(F.coalesce("x_originating_ip", F.lit("")) != "", "HDR_X_ORIGINATING_IP", "info", None, value=F.col("x_originating_ip")),
+            hit(F.col("ip").isNotNull(), "RCV_ORIGIN_IP", "info", None, ip=F.col("ip"), host=F.col("host"), hop=F.col("hop")), hit(F.coalesce("x_originating_ip", F.lit("")) != "", "HDR_X_ORIGINATING_IP", "info", None, value=F.col("x_originating_ip")),
         ),
     ])
 
 
 def authentication(messages: DataFrame, results: DataFrame) -> DataFrame:
     """What ``results(report_id, pos, authserv_id, method, result, properties)`` say."""
-    org = org_domain_udf(messages.sparkSession)
+    org = org_domain(messages.sparkSession)
     severity = F.try_element_at(F.create_map(*[F.lit(x) for kv in AUTH_SEVERITY.items() for x in kv]), F.col("result"))
     each = findings_of(results, hit(severity.isNotNull(), F.concat_ws("_", F.lit("AUTH"), F.upper("method"), F.upper("result")), severity, None, authserv_id=F.col("authserv_id")))
     signer = F.lower(F.try_element_at("properties", F.lit("header.d")))
@@ -171,7 +181,7 @@ def provider_path(messages: DataFrame, hops: DataFrame) -> DataFrame:
 
 def provider_verdicts(messages: DataFrame) -> DataFrame:
     """What a mail provider's own filter said (``forefront``, ``antispam``, ``scl``, ``auth_as``, ``spam_status``, ``spam_flag``)."""
-    org = org_domain_udf(messages.sparkSession)
+    org = org_domain(messages.sparkSession)
     get = lambda c, k: F.nullif(F.trim(F.regexp_extract(F.coalesce(F.col(c), F.lit("")), rf"(?i)(?:^|;)\s*{k}\s*:([^;]*)", 1)), F.lit(""))
     recipients = F.transform(F.array_union(F.coalesce("to_addrs", F.array().cast("array<string>")), F.coalesce("cc_addrs", F.array().cast("array<string>"))), lambda x: F.lower(F.substring_index(x, "@", -1)))
     m = messages.withColumn("cat", F.upper(get("forefront", "CAT"))).withColumn("sfv", F.upper(get("forefront", "SFV"))).withColumn("scl_n", F.coalesce(get("forefront", "SCL"), F.trim("scl")).try_cast("int")).withColumn("bcl", get("antispam", "BCL").try_cast("int"))
@@ -194,7 +204,7 @@ def links(urls: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     found = url_findings(urls).select("report_id", "code", "severity", F.lit("URL").alias("location"), F.to_json(F.struct("url")).alias("evidence"))
     if shown is None:
         return found
-    org = org_domain_udf(urls.sparkSession)
+    org = org_domain(urls.sparkSession)
     pairs = shown.withColumn("said", link_text_host(F.col("text"))).filter("said is not null").withColumn("host", split_url("url")["host"]).filter("host is not null")
     unlike = pairs.withColumn("said_org", org("said")).withColumn("host_org", org("host")).filter("said_org <> host_org").dropDuplicates(["report_id", "said", "url"])
     return union([found, findings_of(unlike, hit(F.lit(True), "URL_TEXT_MISMATCH", "high", F.lit("URL"), shown=F.col("said"), url=F.col("url")))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.functions.domains import domain_of, org_domain_udf
+from siftwright.functions.domains import domain_of, org_domain
 from siftwright.plans.detect import findings_of, hit, union
 
 # Brands, the words that name them, and their own domains; providers whose addresses anybody can have.
@@ -42,7 +42,7 @@ def impersonation(messages: DataFrame, own_orgs: DataFrame | None = None) -> Dat
     Names are made distinct, and meet the brand words in a join with a fixed list.
     """
     spark = messages.sparkSession
-    org = org_domain_udf(spark)
+    org = org_domain(spark)
     m = messages.select("report_id", "from_display_name", org(domain_of(F.col("from_address"))).alias("org")).filter("from_display_name <> '' and org is not null")
     names = m.select("from_display_name").distinct()
     claims = names.join(F.broadcast(brands(spark)), F.expr("regexp_like(from_display_name, pattern)")).groupBy("from_display_name").agg(F.min_by(F.struct("brand", "own"), "ord").alias("c"))

@@ -43,6 +43,17 @@ def severity_rank(severity: Column) -> Column:
     return (F.array_position(F.array(*map(F.lit, SEVERITIES)), severity) - 1).cast("tinyint")
 
 
+def placed(findings: DataFrame) -> DataFrame:
+    """Findings with ``seq``, their place in the report: the worst first, then by code, location and evidence."""
+    w = Window.partitionBy("report_id").orderBy(F.desc(severity_rank(F.col("severity"))), "code", "location", "evidence")
+    return findings.withColumn("seq", F.row_number().over(w))
+
+
+def tally(assessments: DataFrame) -> DataFrame:
+    """(verdict, tens, reports): how many reports came to each verdict and ten of scores, with totals where these are null."""
+    return assessments.select("verdict", F.floor(F.col("score") / 10).cast("string").alias("tens")).rollup("verdict", "tens").agg(F.count("*").alias("reports"))
+
+
 def points_of(severity: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in POINTS.items() for x in kv]), severity), F.lit(0.0))
 

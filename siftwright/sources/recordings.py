@@ -26,3 +26,14 @@ def save_dns(records: DataFrame, path: str, resolver: str = "recorded") -> None:
     """Write records in the form that :func:`dns` reads; recordings are small, and written as one file."""
     one = records.agg(F.collect_list(F.struct("name", "type", "answers", "error", F.coalesce("at", F.lit("")).alias("at"))).alias("lookups"))
     one.select(F.lit(resolver).alias("resolver"), "lookups").coalesce(1).write.mode("overwrite").json(path)
+
+
+def answered(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """``queries(..., name, type)`` with ``answers`` and ``error`` of ``records``; what wasn't recorded has an error that says so.
+
+    Names meet without regard to letter case and final dot; a join on keys, so neither side need be small.
+    """
+    key = F.lower(F.regexp_replace("name", r"\.+$", ""))
+    held = records.select(F.lower(F.regexp_replace("name", r"\.+$", "")).alias("_n"), F.upper("type").alias("_t"), "answers", F.col("error").alias("_e"), F.lit(True).alias("_found"))
+    both = queries.join(held, (key == F.col("_n")) & (F.upper(F.col("type")) == F.col("_t")), "left")
+    return both.select(*queries.columns, "answers", F.coalesce("_e", F.when(F.col("_found").isNull(), F.lit("not recorded"))).alias("error"))

@@ -18,7 +18,11 @@ def watched(spark: SparkSession, folder: str, all_files: bool = False, per_batch
     Hidden files are skipped; unless ``all_files``, so are other endings. Writers should rename files
     into the folder when these are whole.
     """
-    files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", per_batch).load(folder)
+    return new_contents(spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", per_batch).load(folder), all_files)
+
+
+def new_contents(files: DataFrame, all_files: bool = False) -> DataFrame:
+    """(path, content, sha256) of a stream of ``files(path, content)``: each content once, without what :func:`watched` skips."""
     name = F.substring_index("path", "/", -1)
     kept = files.filter(~name.startswith("."))
     if not all_files:
@@ -46,6 +50,17 @@ def to_folder(analyse: Callable[[DataFrame], DataFrame], folder: str) -> Callabl
 
 
 def campaign_windows(indicators: DataFrame, at: str, delay: str = "1 day", width: str = "1 hour") -> DataFrame:
-    """(start, type, value, reports): how many reports had an indicator in a window, late ones up to ``delay`` included."""
-    w = F.window(F.col(at), width)
-    return indicators.withWatermark(at, delay).groupBy(w, "type", "value").agg(F.approx_count_distinct("report_id").alias("reports")).select(F.col("window.start").alias("start"), "type", "value", "reports")
+    """(start, type, value, reports): how many reports had an indicator in a window, late ones up to ``delay`` included.
+
+    Exact: a report's repetitions are dropped before it is counted, so that streams hold one row for each.
+    """
+    in_window = indicators.withWatermark(at, delay).select(F.window(F.col(at), width).alias("window"), "type", "value", "report_id")
+    once = in_window.dropDuplicates(["window", "type", "value", "report_id"])
+    return once.groupBy("window", "type", "value").agg(F.count("*").alias("reports")).select(F.col("window.start").alias("start"), "type", "value", "reports")
+
+
+def campaign_sessions(indicators: DataFrame, at: str, gap: str = "30 minutes", delay: str = "1 day") -> DataFrame:
+    """(type, value, start, end, seen): runs of an indicator's appearances with no pause as long as ``gap``; ``end`` is the last one's time."""
+    kept = indicators.withWatermark(at, delay).withColumn("_at", F.col(at))
+    runs = kept.groupBy("type", "value", F.session_window(at, gap).alias("w")).agg(F.count("*").alias("seen"), F.min("_at").alias("start"), F.max("_at").alias("end"))
+    return runs.select("type", "value", "start", "end", "seen")

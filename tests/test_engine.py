@@ -102,9 +102,27 @@ def test_scores_follow_the_formula(spark):
 
 
 def test_functions(spark):
-    rules_ = domains.suffix_rules()
-    for host, org in {"mail.a.co.uk": "a.co.uk", "city.kawasaki.jp": "city.kawasaki.jp", "a.b.c.kawasaki.jp": "b.c.kawasaki.jp", "www.ck": "www.ck", "x.y.github.io": "y.github.io", "com": "com", "A.Example.": "a.example", "": None}.items():
-        assert domains.registrable(host, rules_) == org
+    cases = {"mail.a.co.uk": "a.co.uk", "www.ck": "www.ck", "x.www.ck": "www.ck", "x.y.ck": "x.y.ck", "w.x.y.ck": "x.y.ck", "x.y.github.io": "y.github.io", "a.github.io.test": "io.test", "com": "com", "co.uk": "co.uk", "A.Example.": "a.example", "a.b.sch.uk": "b.sch.uk", "a.b.sch.de": "sch.de", "": None}
+    for host, org in cases.items():
+        assert domains.registrable(host) == org
+    got = domains.with_org_domain(spark.createDataFrame([(h,) for h in cases], "h string"), "h", "o").collect()
+    assert {r.h: r.o for r in got} == cases
+
+
+def test_suffix_list_of_ones_own(spark, tmp_path):
+    (tmp_path / "list.dat").write_text("// a comment\nexample\nco.example\n*.kawasaki.example\n!city.kawasaki.example\nm\u00fcnchen\n")
+    cases = {"a.b.co.example": "b.co.example", "city.kawasaki.example": "city.kawasaki.example", "a.b.c.kawasaki.example": "b.c.kawasaki.example", "x.y.co.uk": "co.uk", "z.a.xn--mnchen-3ya": "a.xn--mnchen-3ya", "": None, None: None}
+    spark.conf.set(domains.LIST_CONF, str(tmp_path / "list.dat"))
+    try:
+        rules_ = domains.suffix_rules(spark)
+        assert {h: domains.registrable(h, rules_) for h in cases} == cases
+        got = domains.with_org_domain(spark.createDataFrame([(h,) for h in cases], "h string"), "h", "o").collect()
+        assert {r.h: r.o for r in got} == cases
+    finally:
+        spark.conf.unset(domains.LIST_CONF)
+
+
+def test_more_functions(spark):
     assert ur.take_apart("http://u@0x7f000001:81/")["ip"] == "127.0.0.1" and not ur.take_apart("http://[::1/")["parsed"]
     df = spark.createDataFrame([("a​b‮c", "=1+1", "https://a.b/x@y", "8.8.8.8"), (None, None, None, None), ("", "", "", "10.1.2.3")], "t string, c string, u string, i string")
     one = df.select(tx.zero_width_count(F.col("t")), tx.bidi_count(F.col("t")), tx.safe_display(F.col("t")), tx.csv_safe(F.col("c")), tx.defang(F.col("u")), ip.ipv4_is_private(F.col("i")), ur.link_text_host(F.col("u"))).collect()
