@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.pii_corpus import STREET_AFTER, STREET_BEFORE, STREET_TAIL, Maker, dni_letter, nir_key
+from siftwright.llm.pii_corpus import STREET_AFTER, STREET_BEFORE, STREET_TAIL, Maker, dni_letter, ean_digit, nir_key, tax_digit
+from siftwright.llm.tokens import VOCABULARY, common_words
 
 KINDS = ("email", "phone", "id_number", "street", "person")
 #: Names of a list that may go to the workers; longer lists are refused.
@@ -34,20 +36,23 @@ _GAP = r"[   ]"
 _DOT = r" ?[\[({<] ?(?:dot|\.|punkt|point|punto) ?[\])}>] ?"
 # An address is found from the sign in its middle: what stands before it, the sign, and the host after it.
 _SIGN = re.compile(r" ?[\[({<] ?(?:at|@|arroba) ?[\])}>] ?|＠| at | @ |@", re.I)
-_LOCAL = {True: re.compile(r"(?:^|(?<=[^\w.+%&'=~!#$*/?^`{|}-]))[\w.+%&'=~!#$*/?^`{|}-]*\w$"), False: re.compile(r"\w[\w.+-]*$")}
+#: What may stand in an address before its sign: by whether that sign is written plainly.
+_LOCAL = {True: frozenset(".+%&'=~!#$*/?^`{|}-_"), False: frozenset(".+-_")}
 _HOSTS = {
     "@": re.compile(r"\w[\w-]*(?:\.\w[\w-]*)+"), "at": re.compile(r"\w[\w-]*(?: dot \w[\w-]*)+", re.I), "apart": re.compile(r"\w[\w-]*(?: ?\. ?\w[\w-]*)+"),
     "signed": re.compile(rf"\w[\w-]*(?:(?:{_DOT}|\.)\w[\w-]*)+", re.I), "dots": re.compile(rf"\w[\w-]*(?:{_DOT}\w[\w-]*)+", re.I),
 }
-#: Characters that an address may have before its sign.
-MOST_LOCAL = 80
-_NUMBERS = re.compile(r"(?<![\w.,:])[+(]?\(?\d+(?:\)?[  .\-/‐‑–()]{0,3}\d+)*")
+# These begin with a class of characters, which the search skips to, and look back after it.
+_NUMBERS = re.compile(r"[+(\d](?<![\w.,:].)(?:(?<=\d)\d*|\(?\d+)(?:\)?[ \xa0.\-/‐‑–()]{0,3}\d+)*")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 _GROUP = re.compile(r"[+(]*\d+")
 _IDS = (
     ("ssn", re.compile(r"(?<![\w.,/-])\d{3}([- ]?)\d{2}\1\d{4}(?![\w/]|[-.,]\d)")),
     ("nino", re.compile(r"(?<![\w-])[A-Z]{2}([- ]?)\d{2}\1\d{2}\1\d{2}\1[A-D](?![\w]|-\w)", re.I)),
-    ("dni", re.compile(r"(?<![\w.,/-])[\dXYZ]\d{7}[- ]?[A-Z](?![\w]|-\w)")),
+    ("dni", re.compile(r"(?<![\w.,/-])(?:\d{8}|[XYZ][- ]?\d{7})[- ]?[A-Z](?![\w]|-\w)")),
+    ("tax", re.compile(r"(?<![\w.,/-])[1-9]\d( ?)\d{3}\1\d{3}\1\d{3}(?![\w/]|[-.,]\d)")),
+    ("ahv", re.compile(r"(?<![\w.,/-])756(\.?)\d{4}\1\d{4}\1\d\d(?![\w/]|[-.,]\d)")),
+    ("cf", re.compile(r"(?<![\w-])[A-Z]{6}\d{2}[A-EHLMPRST]\d{2}[A-Z]\d{3}[A-Z](?![\w]|-\w)", re.I)),
     ("nir", re.compile(r"(?<![\w.,/-])[12]([ .-]?)\d{2}\1\d{2}\1\d[\dAB]\1\d{3}\1\d{3}[ .-]?\d{2}(?![\w]|[-.,]\d)")),
 )
 _NO = r"\d{1,4}(?: ?[a-hA-H](?!\w)| (?:bis|ter|quater)(?!\w))?"
@@ -72,11 +77,15 @@ _PERSONS = (
     ("initial", re.compile(rf"(?<![\w@.-])(?P<g>{_INITIAL})(?P<m>(?:{_GAP}?{_INITIAL})?){_GAP}?(?P<f>{_SUR})(?![\w@]|\.\w)")),
     ("comma", re.compile(rf"(?<![\w@.-])(?P<f>{_SUR}),{_GAP}(?P<g>{_INITIAL}|{_CAP}(?:-{_CAP})?)(?P<m>(?:{_GAP}{_INITIAL})?)(?![\w@]|\.\w)")),
 )
+#: What a text must hold for a pattern to match anywhere in it; and house numbers after a capitalised word.
+_GATES = {"comma": re.compile(rf"\w,{_GAP}[{_UP}]"), **dict.fromkeys(("nino", "cf"), re.compile(r"\d[- ]?[A-Za-z](?!\w)"))}
+_HOUSED, _CAPITAL_WORD = ("tail", "before", "lead"), re.compile(rf"[{_UP}][\w’'-]*\.?,?{_GAP}(?:n\.?[º°o]?\.? ?|núm\. ?|no\. ?|Nr\.? ?)?\d")
 _BEFORE, _NEXT = re.compile(r"[\w’'º]+|[^\w\s]"), re.compile(r"[\w’']+|[^\w\s]")
 # Words around numbers that aren't personal, around telephone numbers, and around identity numbers.
 NOT_MINE = frozenset("order invoice tracking ticket batch section build relay hop rfc parcel case betrag code checksum rule score quota version factura facture rechnung commande pedido bestellung sendung colis paquete auftrag dossier expediente importe montant gate port size".split())
 CALLED = frozenset("tel phone ring call number fax mobile mob reach under unter au al telefon téléphone teléfono joindre llame rückfragen consultas questions contact anrufen is".split())
-IDENTITY = frozenset("identity document documento ausweis ausweisnummer numéro número dni nif nie nino ssn passport need id identité identidad personalausweis insurance security".split())
+TITLES = frozenset("dr mr mrs ms miss mx prof professor sir frau herr herrn mme mlle monsieur madame señor señora señorita sr sra srta don doña dear dott signor signora".split())
+IDENTITY = frozenset("steuer tax fiscale codice ahv avs social insee identity document documento ausweis ausweisnummer numéro número dni nif nie nino ssn passport need id identité identidad personalausweis insurance security".split())
 UNITS = frozenset("kb mb gb € $ bytes open recipients tickets copies campaigns more minutes boxes ko mo % users messages".split())
 
 
@@ -87,10 +96,10 @@ def _near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
 
 
 class Names:
-    """What a list of names tells about a word: whether it is listed, or begins like many that are."""
+    """What a list of names tells about a word: whether it is listed, begins like many that are, or is in common use otherwise."""
 
-    def __init__(self, given: list[str], family: list[str]):
-        self.given, self.family = {g.lower() for g in given}, {f.lower() for f in family}
+    def __init__(self, given: list[str], family: list[str], common: frozenset[str] = frozenset()):
+        self.given, self.family, self.common = {g.lower() for g in given}, {f.lower() for f in family}, common
         count: dict[str, int] = {}
         for f in self.family:
             for k in range(3, min(len(f), 6)):
@@ -116,6 +125,9 @@ class Names:
             kind = "given" if word.lower() in self.given else "other"
         return self._kept("family", word, kind)
 
+    def is_common(self, word: str) -> bool:
+        return all(p in self.common for p in word.lower().split("-"))
+
     def is_given(self, word: str) -> str:
         if got := self.known.get(("given", word)):
             return got
@@ -136,14 +148,39 @@ def _around(kind: str, near: tuple[list[str], list[str]]) -> list[str]:
 
 
 #: Where spans that begin with a capital or with a digit may begin.
-_CAPITAL, _NUMERAL = re.compile(rf"(?<!\w)[{_UP}]"), re.compile(r"(?<!\w)(?:\d+|[XYZ]\d)")
-_BY_CAPITAL = ("given", "middle", "initial", "tail", "lead")
+_PERSON = re.compile(rf"[{_UP}](?<![\w@.-].)(?:\.{_GAP}?|[\w’'-]*,?{_GAP})(?=[{_UP}]|(?:de|van|von|del|della|di|la|der|den|zu|ter){_GAP})")
+_CAPITAL, _NUMERAL = re.compile(rf"[{_UP}](?<!\w.)"), re.compile(r"[\dXYZ](?<!\w.)(?:(?<=\d)\d*|[- ]?\d)")
+_BY_CAPITAL, _BY_NAME = ("tail", "lead"), ("given", "middle", "initial")
 #: The lengths that the first run of digits of a form can have; 0 stands for a letter before it.
-_BY_NUMERAL = {"after": (1, 2, 3, 4), "way": (1, 2, 3, 4), "ssn": (3, 9), "dni": (0, 8), "nir": (1, 6, 13, 15)}
+_BY_NUMERAL = {"after": (1, 2, 3, 4), "way": (1, 2, 3, 4), "ssn": (3, 9), "dni": (0, 8), "nir": (1, 6, 13, 15), "tax": (2, 11), "ahv": (3, 13)}
+
+
+def _numerals(text: str, starts: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    if "numeral" not in starts:
+        starts["numeral"] = [(m.start(), 0 if m[0][0] in "XYZ" else m.end() - m.start()) for m in _NUMERAL.finditer(text)]
+    return starts["numeral"]
 
 
 def _matches(name: str, pattern: re.Pattern, text: str, starts: dict[str, list[tuple[int, int]]]) -> Iterator[re.Match]:
     """The matches of a pattern at each place where one may begin, overlapping ones too."""
+    if name in _BY_NAME:
+        if "name" not in starts:
+            starts["name"] = [(m.start(), 0) for m in _PERSON.finditer(text)]
+        for at, _ in starts["name"]:
+            if m := pattern.match(text, at):
+                yield m
+        return
+    if name in _GATES:
+        gate = _GATES[name]
+        if gate.pattern not in starts:
+            starts[gate.pattern] = [m.span() for m in [gate.search(text)] if m]
+        if not starts[gate.pattern]:
+            return
+    if name in _HOUSED:
+        if "housed" not in starts:
+            starts["housed"] = [m.span() for m in [_CAPITAL_WORD.search(text)] if m]
+        if not starts["housed"]:
+            return
     if name in _BY_CAPITAL:
         if "capital" not in starts:
             starts["capital"] = [(m.start(), 0) for m in _CAPITAL.finditer(text)]
@@ -152,10 +189,8 @@ def _matches(name: str, pattern: re.Pattern, text: str, starts: dict[str, list[t
                 yield m
         return
     if name in _BY_NUMERAL:
-        if "numeral" not in starts:
-            starts["numeral"] = [(m.start(), 0 if m[0][0] in "XYZ" else m.end() - m.start()) for m in _NUMERAL.finditer(text)]
         lengths = _BY_NUMERAL[name]
-        for at, n in starts["numeral"]:
+        for at, n in _numerals(text, starts):
             if n in lengths and (m := pattern.match(text, at)):
                 yield m
         return
@@ -168,21 +203,34 @@ def _matches(name: str, pattern: re.Pattern, text: str, starts: dict[str, list[t
 
 
 def _emails(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
+    links: list[int] | None = None
     for m in _SIGN.finditer(text):
         sign = m[0].lower()
-        forms = ("@", "dots") if sign == "@" else ("at",) if sign == " at " else ("apart",) if sign == " @ " else ("signed",)
+        plain = sign == "@"
+        forms = ("@", "dots") if plain else ("at",) if sign == " at " else ("apart",) if sign == " @ " else ("signed",)
+        ends: dict[bool, int] = {}
         for form in forms:
-            left = _LOCAL[form == "@"].search(text[max(0, m.start() - MOST_LOCAL) : m.start()])
             right = _HOSTS[form].match(text, m.end())
-            if not left or not right:
+            if not right:
                 continue
-            a, b = m.start() - len(left[0]), right.end()
-            while form == "@" and not (text[a].isalnum() or text[a] == "_") and a < m.start() - 1:
-                a += 1
-            run = text.rfind(" ", 0, a) + 1
+            wide = form == "@"
+            if wide not in ends:
+                a = m.start()
+                while a and (text[a - 1].isalnum() or text[a - 1] in _LOCAL[wide]):
+                    a -= 1
+                while a < m.start() and not (text[a].isalnum() or text[a] == "_"):
+                    a += 1
+                ends[wide] = a if a < m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_") else m.start()
+            a, b = ends[wide], right.end()
+            if a == m.start():
+                continue
+            if links is None:
+                links = [x.start() for x in re.finditer("://", text)]
             before = text[max(0, a - 28) : a].lower()
             local = text[a : m.start()]
-            f = [f"email|form={form}", "email|url" if "://" in text[max(run, a - 2000) : b] or text[a - 1 : a] in ("/", ":") or "/" in local else "email|no-url"]
+            at = bisect(links, b) - 1
+            linked = at >= 0 and " " not in text[links[at] : a]
+            f = [f"email|form={form}", "email|url" if linked or text[a - 1 : a] in ("/", ":") or "/" in local else "email|no-url"]
             f.append("email|id-header" if re.search(r"message-id|in-reply-to|references|content-id|\bcid:|\bid\s*[:=<]", before) else "email|no-header")
             if re.fullmatch(r"[0-9a-f]{6,}\.[0-9a-f]+|[0-9a-f]{12,}", local.lower()):
                 f.append("email|hex")
@@ -193,7 +241,7 @@ def _emails(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
 
 def _phones(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
     for m in _NUMBERS.finditer(text):
-        if sum(c.isdigit() for c in m[0]) < 7:
+        if len(m[0]) < 7 or sum(map(str.isdigit, m[0])) < 7:
             continue
         groups = [(g.start() + m.start(), g.end() + m.start(), len(g[0].lstrip("+("))) for g in _GROUP.finditer(m[0])]
         for i in range(len(groups)):
@@ -217,7 +265,7 @@ def _phones(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
                 if re.fullmatch(r"(?:19|20)\d\d-\d+-\d+", span):
                     f.append("phone|date")
                 f.append(f"phone|shape={shape}" if len(shape) < 20 else "phone|long")
-                f.append("phone|mine=" + ("not" if any(w in NOT_MINE for w in before) else "called" if any(w in CALLED for w in before) else "open"))
+                f.append("phone|mine=" + ("not" if any(w in NOT_MINE for w in before) else "identity" if any(w in IDENTITY for w in before) else "called" if any(w in CALLED for w in before) else "open"))
                 f.append("phone|unit" if after and after[0] in UNITS else "phone|no-unit")
                 if text[b : b + 1].isalnum() or re.match(r"[-.:/]\w", text[b : b + 2]):
                     f.append("phone|goes-on")
@@ -238,7 +286,12 @@ def _ids(text: str, starts: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[
                 n = s[:13].replace("2A", "19").replace("2B", "18")
                 f.append(f"id|nir={nir_key(n) == int(s[13:])}")
             if name == "ssn":
-                f.append(f"id|ssn9={s[0] == '9'}")
+                area = "open" if s[0] == "9" else "never" if s[:3] in ("000", "666") or s[3:5] == "00" or s[5:] == "0000" else "given"
+                f += [f"id|ssn={area}", f"id|ssn={area}|bare={s == m[0]}"]
+            if name == "nino":
+                f.append(f"id|nino={not set(s[0]) & set('DFIQUV') and s[1] not in 'DFIOQUV' and s[:2] not in ('BG', 'GB', 'NK', 'KN', 'TN', 'NT', 'ZZ')}")
+            if name in ("tax", "ahv"):
+                f.append(f"id|{name}={(tax_digit if name == 'tax' else ean_digit)(s[:-1]) == int(s[-1])}|apart={s != m[0]}|one={s[0] == '1'}")
             before, after = _near(text, m.start(), m.end())
             f.append("id|mine=" + ("not" if any(w in NOT_MINE for w in before) else "identity" if any(w in IDENTITY for w in before) else "open"))
             yield m.start(), m.end(), "id_number", f + _around("id", (before, after))
@@ -278,7 +331,11 @@ def _persons(text: str, names: Names, starts: dict[str, list[tuple[int, int]]])
             f.append(f"person|mid={'no' if not mid else 'initial' if len(mid) == 2 else names.is_given(mid)}")
             if " " in f_:
                 f.append("person|particle")
+            if gk == "other" or fk == "other":
+                used = (names.is_common(g), names.is_common(f_.split()[-1]))
+                f += [f"person|used={used}", f"person|used={used}|{gk}+{fk}"]
             near = _near(text, m.start(), m.end())
+            f.append(f"person|title={any(w in TITLES for w in near[0][:2])}")
             follow = near[1]
             if follow and follow[0].capitalize() in STREET_AFTER:
                 f.append("person|street-follows")
@@ -302,11 +359,14 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
 
 
 class Model:
-    """Weights of features, trained on made sentences; ``samples`` bounds the training texts."""
+    """Weights of features, trained on made sentences; ``samples`` bounds the training texts.
+
+    ``common`` are words in everyday use, in lower case: capitalised, they may be names but seldom are.
+    """
 
-    def __init__(self, given: list[str], family: list[str], samples: int = 2500, epochs: int = 6, seed: int = 7):
-        self.names, self.weights = Names(given, family), {}
-        maker = Maker(sorted(given), sorted(family), seed)
+    def __init__(self, given: list[str], family: list[str], samples: int = 4000, epochs: int = 6, seed: int = 7, common: frozenset[str] = frozenset()):
+        self.names, self.weights = Names(given, family, common), {}
+        maker = Maker(sorted(given), sorted(family), seed, tuple(sorted(common - self.names.given - self.names.family)))
         data = []
         for _ in range(samples):
             text, spans = maker.text()
@@ -379,12 +439,15 @@ def _logsum(xs: list[float]) -> float:
     return top + math.log(sum(math.exp(x - top) for x in xs))
 
 
-def model_of(names: DataFrame) -> Model:
-    """A model for ``names(name, kind)``, kind ``given`` or ``family``; null and empty names are left out."""
+def model_of(names: DataFrame, vocabulary: str = VOCABULARY) -> Model:
+    """A model for ``names(name, kind)``, kind ``given`` or ``family``; null and empty names are left out.
+
+    Words in everyday use are the whole words of a public tokenizer's ``vocabulary``, whose file the driver reads.
+    """
     rows = names.filter("length(name) > 0 and kind in ('given', 'family')").select("name", "kind").distinct().limit(MOST_NAMES + 1).collect()
     if len(rows) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} names")
-    return Model([r.name for r in rows if r.kind == "given"], [r.name for r in rows if r.kind == "family"])
+    return Model([r.name for r in rows if r.kind == "given"], [r.name for r in rows if r.kind == "family"], common=common_words(vocabulary))
 
 
 def found(texts: DataFrame, model: Model) -> DataFrame:

@@ -26,6 +26,15 @@ def encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@cache
+def common_words(path: str) -> frozenset[str]:
+    """The words of four letters or more that a vocabulary has whole, with the blank before them."""
+    with open(path, "rb") as f:
+        tokens = (base64.b64decode(line.split()[0]) for line in f)
+        words = (t[1:].decode("utf-8", "ignore") for t in tokens if t.startswith(b" "))
+        return frozenset(w for w in words if len(w) >= 4 and w.isalpha() and w.islower())
+
+
 def with_tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, *keep, n_tokens): the size of each whole text; null and empty texts have 0.
 
