@@ -31,6 +31,8 @@ BLOCK = 4_000_000
 MOST_BROADCAST = 1_000_000
 #: Places of a sketch.
 SKETCHED = 32
+#: One record in so many shows which buckets are crowded.
+SHOWN = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -216,6 +218,38 @@ def _verify(tables):
     return run
 
 
+def _prefix_batches(tables, jaccard: float):
+    """Of each record its rarest shingles, as many as a like record must share one of: (h, rid, n), n the size of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, idf, _ = tables.value
+        for b in batches:
+            keys, ids, sizes = [], [], []
+            for rid, sh in zip(b.column("rid").to_pylist(), b.column("sh"), strict=True):
+                own = sh.values.to_numpy()
+                least = math.ceil(jaccard * len(own) - 1e-9)
+                prefix = own[np.lexsort((own, -weights_of(own, common, idf, np.inf)))][: len(own) - least + 1]
+                keys.append(prefix)
+                ids.append(np.full(len(prefix), rid))
+                sizes.append(np.full(len(prefix), len(own)))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes)], names=["h", "rid", "n"])
+
+    return run
+
+
+def prefix_candidates(sets: DataFrame, tables, jaccard: float) -> DataFrame:
+    """(a, b), a < b: every pair of ``sets(rid, sh)`` that may have the similarity, by their rarest shingles and sizes.
+
+    Nothing is left to chance: all records put their shingles in one order, the rarest first, and
+    two sets of that similarity share one among the first few. What many records share stands last,
+    so that it brings none of them together.
+    """
+    keys = sets.select("rid", "sh").mapInArrow(_prefix_batches(tables, jaccard), "h long, rid long, n long")
+    b = keys.withColumnsRenamed({"rid": "b", "n": "m"})
+    return keys.withColumnRenamed("rid", "a").join(b, "h").filter((F.col("a") < F.col("b")) & (F.least("n", "m") >= jaccard * F.greatest("n", "m") - 1e-9)).select("a", "b").distinct()
+
+
 class NearDuplicates:
     """Classes of equal records, and the links between like ones.
 
@@ -227,16 +261,19 @@ class NearDuplicates:
     from what ``jaccard`` is at least worth in weights, and the exact check alone decides.
 
     Two records of weighted similarity ``threshold`` or more agree in one of ``bands`` bands of
-    ``rows`` samples with probability 1 - (1 - s ** rows) ** bands at least; a bucket of any size is
-    compared whole, in salted blocks of ``block`` rows. ``even`` bounds the weights: no idf counts
+    ``rows`` samples with probability 1 - (1 - s ** rows) ** bands at least; a bucket
+    is compared whole, in salted blocks of ``block`` rows. Buckets of more than about ``crowded`` records,
+    which one record in ``SHOWN`` shows, aren't compared: what is in one goes by its rarest shingles
+    instead (:func:`prefix_candidates`), which finds all pairs. ``even`` bounds the weights: no idf counts
     less than that share of the greatest. Candidates whose sketches (eight bits
     each of 32 samples) agree in too few places are left out: at most a fifth of 1 - ``recall`` of the pairs
     just at the threshold, and next to none of those well above. ``bands`` are by default as many as find the
-    share ``recall`` of pairs just at the threshold after that, 16 at least.
+    share ``recall`` of pairs just at the threshold after that; ``rows`` are 2 where that is under a half, else 3.
     """
 
-    def __init__(self, records: DataFrame, n: int = 5, jaccard: float = 0.8, threshold: float | None = None, bands: int | None = None, rows: int = 2, rare: float = 1e-3, even: float = 0.5, block: int = 256, seed: int = 1, recall: float = 0.99):
+    def __init__(self, records: DataFrame, n: int = 5, jaccard: float = 0.8, threshold: float | None = None, bands: int | None = None, rows: int | None = None, rare: float = 1e-3, even: float = 0.5, block: int = 256, seed: int = 1, recall: float = 0.99, crowded: int = 20_000):
         sought = weighted_floor(jaccard, 1 / even) if threshold is None else threshold
+        rows = rows or (2 if sought < 0.5 else 3)
         least, bands = sketch_and_bands(sought, rows, recall, bands)
         spark = records.sparkSession
         words = F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
@@ -255,14 +292,27 @@ class NearDuplicates:
         tables = spark.sparkContext.broadcast((common.column("h").to_numpy(), idf, top))
 
         parts = range(SKETCHED // 8)
-        banded = sets.mapInArrow(_band_batches(tables, bands, rows, seed), "band long, rid long, " + ", ".join(f"s{i} long" for i in parts))
+        of_bands = lambda some: some.mapInArrow(_band_batches(tables, bands, rows, seed), "band long, rid long, " + ", ".join(f"s{i} long" for i in parts))
+        banded, full = of_bands(sets), None
+        # A bucket can't have more records than there are.
+        if total > crowded:
+            shown = of_bands(sets.filter(F.pmod(F.xxhash64("rid"), F.lit(SHOWN)) == 0)).groupBy("band").agg(F.count("*").alias("n"))
+            full = stage(shown.filter(F.col("n") * SHOWN >= crowded).select("band"), "crowded")
+            if full.limit(1).count():
+                inside = stage(banded.select("band", "rid").join(small(full), "band", "left_semi").select("rid").distinct(), "inside")
+                banded = banded.join(small(full), "band", "left_anti")
+            else:
+                full = None
         size = F.count("*").over(Window.partitionBy("band"))
         met = stage(banded.withColumn("n", size).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), "bands")
         left = met.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).drop("blocks")
         right = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         right = right.withColumnsRenamed({"rid": "b", **{f"s{i}": f"t{i}" for i in parts}})
         pairs = left.withColumnRenamed("rid", "a").join(right, ["band", "block"]).filter("a < b").filter(sum((_agreeing(f"s{i}", f"t{i}") for i in parts), F.lit(0)) >= least)
-        candidates = stage(pairs.select("a", "b").distinct(), "candidates")
+        pairs = pairs.select("a", "b")
+        if full is not None:
+            pairs = pairs.unionByName(prefix_candidates(sets.join(small(inside), "rid", "left_semi"), tables, jaccard))
+        candidates = stage(pairs.distinct(), "candidates")
         ids = stage(candidates.select(F.col("a").alias("rid")).unionByName(candidates.select(F.col("b").alias("rid"))).distinct(), "ids")
         near = sets.join(small(ids), "rid", "left_semi")
         both = (
@@ -307,5 +357,5 @@ def sketch_and_bands(sought: float, rows: int, recall: float, bands: int | None
     while agree < n and (more := lost + math.comb(n, agree) * p**agree * (1 - p) ** (n - agree)) <= (1 - recall) / 5:
         agree, lost = agree + 1, more
     if bands is None:
-        bands = max(16, math.ceil(math.log(1 - recall - lost) / math.log1p(-(sought**rows)))) if 0 < sought < 1 else 16
+        bands = max(math.ceil(SKETCHED / rows), math.ceil(math.log(1 - recall - lost) / math.log1p(-(sought**rows)))) if 0 < sought < 1 else math.ceil(SKETCHED / rows)
     return agree * (SKETCHED // n), bands

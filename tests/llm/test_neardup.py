@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from siftwright.llm.neardup import NearDuplicates, samples, shingles_of, sketch_and_bands
+from siftwright.llm.neardup import NearDuplicates, prefix_candidates, samples, shingles_of, sketch_and_bands
 
 
 def made(n=40, seed=2):
@@ -99,3 +99,28 @@ def test_bands_for_a_recall():
         least, bands = sketch_and_bands(sought, 2, 0.99)
         assert bands >= 16 and (1 - sought**2) ** bands < 0.01 and 0 < least < 32 * sought
     assert sketch_and_bands(1 / 3, 2, 0.99, 40)[1] == 40
+
+
+def test_crowded_buckets_go_by_the_rarest_shingles(spark):
+    """Boilerplate that all records share fills buckets; pairs are still all found."""
+    r = random.Random(11)
+    frame = [f"f{i}" for i in range(25)]
+    rows = []
+    for k in range(150):
+        own = [f"o{r.randint(0, 5000)}" for _ in range(40)]
+        for side in range(r.randint(1, 3)):
+            words = frame + own[: 40 - side] + [f"e{k}-{side}"]
+            rows.append((len(rows), " ".join(words), None, None))
+    nd = NearDuplicates(spark.createDataFrame(rows, SCHEMA), n=1, jaccard=0.75, crowded=40)
+    want = brute(rows, 1, 0.75)
+    assert {(x.a, x.b) for x in nd.pairs().collect()} == want and len(want) > 80
+
+
+def test_prefixes_lose_no_pair(spark):
+    rows = made(60, 9)
+    frame = spark.createDataFrame([(i, [int(x) for x in shingles_of(t, 3)[0]]) for i, t, *_ in rows if t and len(shingles_of(t, 3)[0])], "rid long, sh array<long>")
+    common = np.sort(np.array([x for i, t, *_ in rows[:3] if t for x in shingles_of(t, 3)[0]], np.int64))
+    common = np.unique(common)
+    tables = spark.sparkContext.broadcast((common, np.linspace(1, 2, len(common)), 3.0))
+    got = {(x.a, x.b) for x in prefix_candidates(frame, tables, 0.5).collect()}
+    assert brute(rows, 3, 0.5) <= got
