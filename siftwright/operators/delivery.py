@@ -2,22 +2,30 @@
 
 Identifiers are dictionary-encoded exactly (the dictionary holds the strings; a code is a shard and
 a dense rank in it). What was seen is a set of bitmaps, one for each (shard, 32,768 ranks), stored
-zstd-compressed. A batch selects one arrival for each message whose bits are all unseen, and the
-new bits are united with the old in a new version of the ledger that one rename makes current.
+zstd-compressed. Arrivals are taken batch by batch: whose bit is set was seen; of the others one
+arrival is selected for each message, and the new bits are united with the old. A version of the
+ledger adds what is new to those before it, and one rename makes it current.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwright.operators.components import connected_components
 from siftwright.session import new_path, stage
 
 RANK_BITS = 40
 BITMAP_BITS = 32768
+#: Versions whose additions are read together; the next one is written whole.
+COMPACT = 16
+#: Shards of a ledger, and the identifiers that one more is made for.
+LEAST_SHARDS, A_SHARD = 256, 1_000_000
 
 
 def message_key(col: Column) -> Column:
@@ -55,37 +63,55 @@ class DeliveryLedger:
         names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.path))]
         return max((int(n[7:]) for n in names if n.startswith("commit-")), default=0)
 
-    def _folder(self, version: int) -> str:
-        """Where a version's tables are: its marker says so."""
-        f = self._fs.open(self._path(f"{self.path}/commit-{version}"))
+    def _state(self, version: int | None = None) -> dict[str, list[str]]:
+        """The folders that a version's tables are in, the oldest first: its marker says so."""
+        v = self.version() if version is None else version
+        if not v:
+            return {"dictionary": [], "seen": []}
+        f = self._fs.open(self._path(f"{self.path}/commit-{v}"))
         try:
-            return f"{self.path}/{f.readUTF()}"
+            return json.loads(f.readUTF())
         finally:
             f.close()
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(schema).parquet(f"{self._folder(v)}/{name}") if v else self.spark.createDataFrame([], schema)
+    def _read(self, name: str, schema: str) -> list[DataFrame]:
+        folders = self._state()[name]
+        return [self.spark.read.schema(schema).parquet(f"{self.path}/{f}/{name}") for f in folders] or [self.spark.createDataFrame([], schema)]
 
     def dictionary(self) -> DataFrame:
-        return self._read("dictionary", "key string, code long, label long")
+        """(key, code, label): each identifier's code, and that of its message; the latest version's label holds."""
+        parts = self._read("dictionary", "key string, code long, label long")
+        if len(parts) == 1:
+            return parts[0]
+        every = reduce(DataFrame.unionByName, [p.withColumn("_v", F.lit(i)) for i, p in enumerate(parts)])
+        return every.groupBy("key", "code").agg(F.max_by("label", "_v").alias("label"))
 
     def seen(self) -> DataFrame:
-        return self._read("seen", "bucket long, bits binary")
+        parts = self._read("seen", "bucket long, bits binary")
+        return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
-    def commit(self, dictionary: DataFrame, seen: DataFrame, base: int | None = None) -> None:
-        """Write a version whole in a folder of its own, then make it current by one rename.
+    def commit(self, dictionary: DataFrame | None, seen: DataFrame, base: int | None = None) -> None:
+        """Write what a version adds in a folder of its own, then make it current by one rename.
 
-        ``base`` is the version that the tables were made from; if another writer committed since,
-        the rename finds its marker in the way, and nothing of either is lost.
+        ``dictionary`` are new or changed rows, or null for none; ``seen`` are bitmaps to unite. ``base`` is the version that they
+        were made from; if another writer committed since, the rename finds its marker in the way,
+        and nothing of either is lost. Every ``COMPACT`` versions all is written anew as one.
         """
-        v = (self.version() if base is None else base) + 1
-        folder = f"data-{v}-{uuid.uuid4().hex[:12]}"
-        dictionary.write.option("compression", "zstd").parquet(f"{self.path}/{folder}/dictionary")
+        base = self.version() if base is None else base
+        v, folder, state = base + 1, f"data-{base + 1}-{uuid.uuid4().hex[:12]}", self._state(base)
+        if len(state["seen"]) >= COMPACT:
+            seen = self.seen().unionByName(seen).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+            old = self.dictionary()
+            dictionary = old if dictionary is None else old.join(dictionary.select("key"), "key", "left_anti").unionByName(dictionary)
+            state = {"dictionary": [], "seen": []}
+        if dictionary is not None:
+            dictionary.write.option("compression", "zstd").parquet(f"{self.path}/{folder}/dictionary")
+            state["dictionary"].append(folder)
         seen.write.option("compression", "zstd").parquet(f"{self.path}/{folder}/seen")
+        state["seen"].append(folder)
         fresh = self._path(f"{self.path}/.marker-{uuid.uuid4().hex}")
         out = self._fs.create(fresh, True)
-        out.writeUTF(folder)
+        out.writeUTF(json.dumps(state))
         out.close()
         jvm = self.spark.sparkContext._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else self._fs.getUri())
@@ -111,37 +137,28 @@ def _is_set(bits: Column, pos: Column) -> Column:
     return F.coalesce(F.getbit(byte, F.pmod(pos, F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
-def ingest(batch: DataFrame, id_col: str, identifiers: list[Column], order: list[Column], ledger: DeliveryLedger) -> DataFrame:
-    """Take a batch into the ledger; (id, redelivery BOOLEAN) for each of its rows.
-
-    Two rows are of one message if they share an identifier, directly or through other rows, of
-    this batch or of earlier ones. Of a message not seen before, the row least by ``order`` and
-    then id is kept; all others are redeliveries. Null identifiers identify nothing: a row without
-    any is its own message. Nulls in ``order`` come last. Ids must be unique in the batch; rows
-    repeated whole under one id count once, and rows without an id are left out. An empty batch gives an empty result. Hot messages are
-    reduced before shuffles (least row by partial aggregation, distinct identifier pairs), and what
-    remains is joined on the unique id. The ledger is committed before the result is returned.
-    """
+def _learned(batch: DataFrame, id_col: str, identifiers: list[Column], order: list[Column], ledger: DeliveryLedger) -> tuple[DataFrame, DataFrame]:
+    """(arrivals (_id, _rank, _label, _codes), what the dictionary gains) of a batch: codes of its identifiers, and which are of one message."""
     key_cols = [f"_k{i}" for i in range(len(identifiers))]
     rank = F.struct(*[x for i, o in enumerate(order) for x in (o.isNull().alias(f"n{i}"), o.alias(f"o{i}"))], F.col(id_col).alias("i"))
     rows = batch.select(F.col(id_col).alias("_id"), rank.alias("_rank"), *[F.concat(F.lit(f"{i}:"), c).alias(k) for i, (k, c) in enumerate(zip(key_cols, identifiers, strict=True))]).filter("_id is not null").dropDuplicates(["_id"])
 
     keys = rows.select(F.explode(F.array(*key_cols)).alias("key")).filter("key is not null").distinct()
-    base_version, old = ledger.version(), ledger.dictionary()
-    fresh = keys.join(old, "key", "left_anti")
+    old = ledger.dictionary()
     shard = F.pmod(F.xxhash64("key"), F.lit(ledger.shards))
     base = old.groupBy(F.shiftright("code", RANK_BITS).alias("shard")).agg((F.max(F.col("code").bitwiseAND(F.lit((1 << RANK_BITS) - 1))) + 1).alias("base"))
     w = Window.partitionBy("shard").orderBy("key")
     coded = (
-        fresh.withColumn("shard", shard).withColumn("r", F.row_number().over(w) - 1)
+        keys.join(old, "key", "left_anti").withColumn("shard", shard).withColumn("r", F.row_number().over(w) - 1)
         .join(base, "shard", "left")
         .select("key", (F.shiftleft(F.col("shard").cast("long"), RANK_BITS) + F.coalesce("base", F.lit(0)) + F.col("r")).alias("code"))
     )
-    dictionary = stage(old.unionByName(coded.withColumn("label", F.col("code"))), "dictionary")
+    fresh = stage(coded.withColumn("label", F.col("code")), "fresh")
+    touched = fresh.unionByName(old.join(keys, "key", "left_semi").select("key", "code", "label"))
 
     wide = rows.select("_id", "_rank", *key_cols)
     for k in key_cols:
-        wide = wide.join(dictionary.select(F.col("key").alias(k), F.col("label").alias(f"{k}_l"), F.col("code").alias(f"{k}_c")), k, "left").drop(k)
+        wide = wide.join(touched.select(F.col("key").alias(k), F.col("label").alias(f"{k}_l"), F.col("code").alias(f"{k}_c")), k, "left").drop(k)
     labels, codes = [f"{k}_l" for k in key_cols], [f"{k}_c" for k in key_cols]
     wide = stage(wide.withColumn("_label", F.coalesce(*labels)), "arrivals")
 
@@ -162,29 +179,63 @@ def ingest(batch: DataFrame, id_col: str, identifiers: list[Column], order: list
         .unionByName(leaf.join(linked, leaf.hub == linked.node, "left").select(F.col("b").alias("label"), F.coalesce("component", "hub").alias("to"))),
         "moved",
     )
+    arrivals = wide.join(moved.withColumnRenamed("label", "_label"), "_label", "left").select("_id", "_rank", F.coalesce("to", "_label").alias("_label"), F.array_compact(F.array(*codes)).alias("_codes"))
+    again = old.join(moved.filter("label <> to"), "label").select("key", "code", F.col("to").alias("label"))
+    new = fresh.join(moved, "label", "left").select("key", "code", F.coalesce("to", "label").alias("label"))
+    return stage(arrivals, "labelled"), new.unionByName(again)
+
+
+def _taken(arrivals: DataFrame, id_col: str, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, redelivery) of each arrival, bitmaps of what is seen now): of a message none of whose bits is set, the least arrival is selected."""
+    known_by = arrivals.filter("_label is not null").select("_label", F.explode(F.array_union(F.array("_label"), "_codes")).alias("code")).distinct()
+    bucket = _bucket(F.col("code"))
+    probed = known_by.withColumn("bucket", bucket).join(seen, "bucket", "left").filter(_is_set(F.col("bits"), _bit(F.col("code")))).select("_label").distinct()
+    unseen = arrivals.filter("_label is not null").join(probed, "_label", "left_anti")
+    chosen = unseen.groupBy("_label").agg(F.min("_rank").alias("r")).select(F.col("r.i").alias("_id"))
+    kept = chosen.unionByName(arrivals.filter("_label is null").select("_id")).withColumn("_kept", F.lit(True))
+    result = stage(arrivals.select("_id").join(kept, "_id", "left").select(F.col("_id").alias(id_col), F.col("_kept").isNull().alias("redelivery")), "delivered")
+    return result, known_by.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(_bit(F.col("code"))).alias("bits"))
 
-    def relabel(df: DataFrame, col: str) -> DataFrame:
-        return df.join(moved.withColumnRenamed("label", col), col, "left").withColumn(col, F.coalesce("to", col)).drop("to")
 
-    wide = relabel(wide, "_label")
-    seen = ledger.seen()
-    own = wide.select("_label", F.explode(F.array(*codes)).alias("code")).filter("code is not null").distinct()
-    known = (
-        own.withColumn("bucket", _bucket(F.col("code"))).join(seen, "bucket", "left")
-        .filter(_is_set(F.col("bits"), _bit(F.col("code")))).select("_label").distinct()
-    )
-    unseen = wide.filter("_label is not null").join(known, "_label", "left_anti")
-    chosen = unseen.groupBy("_label").agg(F.min("_rank").alias("r")).select(F.col("r.i").alias("_id"))
-    kept = chosen.unionByName(wide.filter("_label is null").select("_id")).withColumn("_kept", F.lit(True))
-    result = stage(wide.select("_id").join(kept, "_id", "left").select(F.col("_id").alias(id_col), F.col("_kept").isNull().alias("redelivery")), "delivered")
+def ingest(batch: DataFrame, id_col: str, identifiers: list[Column], order: list[Column], ledger: DeliveryLedger) -> DataFrame:
+    """Take a batch into the ledger; (id, redelivery BOOLEAN) for each of its rows.
 
-    new = own.groupBy(_bucket(F.col("code")).alias("bucket")).agg(F.bitmap_construct_agg(_bit(F.col("code"))).alias("bits"))
-    bits = seen.unionByName(new).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    ledger.commit(relabel(dictionary, "label").select("key", "code", "label"), bits, base_version)
+    Two rows are of one message if they share an identifier, directly or through other rows, of
+    this batch or of earlier ones. Of a message not seen before, the row least by ``order`` and
+    then id is kept; all others are redeliveries. Null identifiers identify nothing: a row without
+    any is its own message. Nulls in ``order`` come last. Ids must be unique in the batch; rows
+    repeated whole under one id count once, and rows without an id are left out. An empty batch gives an empty result. Hot messages are
+    reduced before shuffles (least row by partial aggregation, distinct identifier pairs), and what
+    remains is joined on the unique id. The ledger is committed before the result is returned.
+    """
+    version = ledger.version()
+    arrivals, gained = _learned(batch, id_col, identifiers, order, ledger)
+    result, bits = _taken(arrivals, id_col, ledger.seen())
+    ledger.commit(gained, bits, version)
     return result
 
 
-def redeliveries(batch: DataFrame, id_col: str, identifiers: list[Column], order: list[Column], shards: int = 256) -> DataFrame:
-    """The ids of all rows but the first of each message, over one whole table and a ledger of its own."""
-    ledger = DeliveryLedger(batch.sparkSession, new_path(batch.sparkSession, "ledger"), shards)
-    return ingest(batch, id_col, identifiers, order, ledger).filter("redelivery").select(id_col)
+def redeliveries(batch: DataFrame, id_col: str, identifiers: list[Column], order: list[Column], shards: int | None = None, slices: int = 2) -> DataFrame:
+    """The ids of all rows but the first of each message, over one whole table and a ledger of its own.
+
+    What belongs together is learnt of the whole table first; then the arrivals are taken in
+    ``slices`` of their first order column, if that is a number or a time, the earliest first, each
+    against the bits that those before it have set. The result is the same for any number.
+    """
+    spark = batch.sparkSession
+    ledger = DeliveryLedger(spark, new_path(spark, "ledger"), shards or max(LEAST_SHARDS, batch.count() * len(identifiers) // A_SHARD))
+    arrivals, gained = _learned(batch, id_col, identifiers, order, ledger)
+    parts = [arrivals]
+    if order and slices > 1:
+        first, kind = F.col("_rank.o0"), arrivals.schema["_rank"].dataType["o0"].dataType
+        value = first.cast("double") if isinstance(kind, T.NumericType) else F.unix_micros(first.cast("timestamp")) if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType) else None
+        at = (arrivals.agg(F.percentile_approx(value, [k / slices for k in range(1, slices)])).first()[0] or []) if value is not None else []
+        # Ties stay together; nulls come last.
+        number = F.coalesce(sum(((value > x).cast("int") for x in at), F.lit(0)), F.lit(len(at)))
+        parts = [arrivals.filter(number == k) for k in range(len(at) + 1)]
+    out = []
+    for k, part in enumerate(parts):
+        result, bits = _taken(part, id_col, ledger.seen())
+        ledger.commit(gained if k == 0 else None, bits, k)
+        out.append(result.filter("redelivery").select(id_col))
+    return reduce(DataFrame.unionByName, out)

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from siftwright.operators import delivery
 from siftwright.operators.components import connected_components
 from siftwright.operators.delivery import DeliveryLedger, digest_key, ingest, message_key, redeliveries
 
@@ -80,3 +81,42 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[1000 + i] for i in range(50)} == {1000}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_slices_make_no_difference(spark):
+    rows = made(250, 8)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for slices, order in ((1, [F.col("received_at")]), (3, [F.col("received_at")]), (2, [F.col("received_at").cast("string")])):
+        got = redeliveries(frame, "delivery_id", keys(), order, shards=4, slices=slices)
+        assert {r.delivery_id for r in got.collect()} == expected(rows)
+
+
+def test_many_batches_and_versions_written_whole(spark, tmp_path, monkeypatch):
+    """Deltas, and their compaction, against a plain run over the same batches."""
+    monkeypatch.setattr(delivery, "COMPACT", 2)
+    ledger = DeliveryLedger(spark, f"file://{tmp_path}/ledger", shards=4)
+    rows, want, got = made(200, 5)[:230], {}, {}
+    parent, seen = {}, set()
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for k in range(5):
+        batch = rows[46 * k : 46 * (k + 1)]
+        of = {}
+        for i, m, s, *_ in batch:
+            m = (m or "").strip(" <>")
+            ids = [("m", m.rpartition("@")[0] + "@" + m.rpartition("@")[2].lower())] if "@" in m else []
+            of[i] = ids + ([("s", s.strip().lower())] if (s or "").strip() else [])
+            for x in of[i][1:]:
+                parent[find(x)] = find(of[i][0])
+        known = {find(x) for x in seen}
+        for i, _m, _s, at, *_ in sorted(batch, key=lambda r: (r[3] is None, r[3] or datetime.min, r[0])):
+            want[i] = bool(of[i]) and find(of[i][0]) in known
+            known |= {find(x) for x in of[i][:1]}
+        seen |= {x for v in of.values() for x in v}
+        got |= {r.delivery_id: r.redelivery for r in ingest(spark.createDataFrame(batch, SCHEMA), "delivery_id", keys(), [F.col("received_at")], ledger).collect()}
+    assert got == want and any(want.values()) and ledger.version() == 5
+    assert ledger.dictionary().select("key").distinct().count() == ledger.dictionary().count() == len(seen)
