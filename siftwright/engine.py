@@ -3,27 +3,38 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.functions import urls as ur
 from siftwright.functions.filetype import EXECUTABLE
-from siftwright.operators import archives, imitation, payloads
-from siftwright.plans import detect, detect_files, indicators, names, rules, score, sinks
+from siftwright.functions.domains import org_domain
+from siftwright.operators import archives, imitation, mailauth, payloads, signatures
+from siftwright.plans import detect, detect_files, enrich, indicators, names, rules, score, sinks
 from siftwright.session import stage
 from siftwright.sources import mbox, outlook, parse
 
 
 @dataclass(frozen=True)
 class Options:
-    """What an analysis takes besides the evidence."""
+    """What an analysis takes besides the evidence.
+
+    ``dns(name, type, answers, error)`` are recorded DNS answers, ``answers(provider, request, response, error)`` those of reputation
+    services, ``signatures`` the text of content signatures; ``now``, in seconds since 1970, is when signatures expire.
+    """
 
     protected: tuple[str, ...] = ()
     timeout: float | None = None
     rules: tuple[rules.Rule, ...] = ()
     min_severity: str = "info"
+    nesting: int = parse.NESTING
+    dns: DataFrame | None = None
+    spf_ip: str | None = None
+    answers: DataFrame | None = None
+    signatures: str | None = None
+    now: float | None = None
 
 
 @dataclass
@@ -37,17 +48,22 @@ class Engine:
     @classmethod
     def of_folder(cls, spark: SparkSession, path: str, options: Options | None = None) -> Engine:
         """Message files of a folder: internet messages, Outlook files, and mailboxes message by message."""
-        mbox.register(spark)
         files = parse.read_files(spark, path)
-        eml = files.filter("msg_format = 'eml'").select("path", "content", "msg_format", F.lit(None).cast("string").alias("container"), F.lit(None).cast("string").alias("container_sha256"))
-        msg = outlook.converted(files.filter("msg_format = 'msg'")).filter("content is not null").select("path", "content", "msg_format", F.lit(None).cast("string").alias("container"), F.lit(None).cast("string").alias("container_sha256"))
-        boxes = files.filter("msg_format = 'mbox'").select(F.col("path").alias("container"))
-        mail = spark.read.format("mbox").load(path).withColumn("_c", F.regexp_replace("container", "^file:/*", "/")).join(boxes.select(F.regexp_replace("container", "^file:/*", "/").alias("_c")), "_c", "left_semi").drop("_c")
-        return cls(spark, eml.unionByName(msg).unionByName(mail.select(*eml.columns)), options or Options())
+        none = F.lit(None).cast("string")
+        absent = {"container": none, "container_sha256": none, "modified_by": none, "unread": none}
+        eml = files.filter("msg_format = 'eml'").select("path", "content", "msg_format").withColumns(absent)
+        msg = outlook.converted(files.filter("msg_format = 'msg'")).withColumns(absent | {"modified_by": F.col("modified_by"), "unread": F.col("error")})
+        large = parse.large_files(spark, path)
+        left = large.filter("not is_box").withColumns({"content": F.lit(None).cast("binary"), "msg_format": F.lit("eml")} | absent | {"unread": F.concat(F.lit("too large: "), F.col("length").cast("string"), F.lit(" bytes"))})
+        every = [eml, msg.select(*eml.columns), left.select(*eml.columns)]
+        boxes = [r.path for r in files.filter("msg_format = 'mbox'").select("path").unionByName(large.filter("is_box").select("path")).collect()]
+        if boxes:
+            every.append(mbox.messages(spark, boxes).withColumns({"modified_by": none, "unread": none}).select(*eml.columns))
+        return cls(spark, reduce(DataFrame.unionByName, every), options or Options())
 
     @cached_property
     def tables(self) -> parse.Evidence:
-        return parse.Evidence(stage(parse.parsed(self.evidence, self.options.timeout), "parsed"))
+        return parse.Evidence(stage(parse.parsed(self.evidence, self.options.timeout, self.options.nesting, self.options.now), "parsed"))
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -67,10 +83,60 @@ class Engine:
     def members(self) -> DataFrame:
         return archives.members(self.tables.attachments)
 
+    @cached_property
+    def authentication(self) -> dict[str, DataFrame | None]:
+        """``dkim``, ``arc``, ``spf`` and ``dmarc`` results; without recorded DNS answers signatures stay open, and the last two are null."""
+        t, o = self.tables, self.options
+        dkim, arc = stage(mailauth.dkim_settled(t.rows, o.dns), "dkim"), mailauth.arc_settled(t.rows, o.dns)
+        if o.dns is None:
+            return {"dkim": dkim, "arc": arc, "spf": None, "dmarc": None}
+        inputs = mailauth.spf_inputs(t.messages, t.headers, t.hops, t.auth_results, o.spf_ip)
+        spf = stage(mailauth.spf(inputs, o.dns), "spf")
+        return {"dkim": dkim, "arc": arc, "spf": spf, "dmarc": stage(mailauth.dmarc(t.messages, dkim, spf, o.dns), "dmarc")}
+
+    @cached_property
+    def extracted(self) -> DataFrame:
+        """Indicators, before anything is judged."""
+        t = self.tables
+        return stage(indicators.extract(t.messages, t.hops, self.urls, t.attachments, self.members), "indicators")
+
+    def _of_senders(self) -> list[DataFrame]:
+        """Findings of signatures, chains, senders and policies, and of what the receiver recorded otherwise."""
+        r, m = self.authentication, self.tables.messages.filter("header_count is not null")
+        rebuilt = m.filter("msg_format in ('msg', 'attached')").select("report_id")
+        out = [mailauth.findings(m, r["dkim"], r["arc"], r["spf"], r["dmarc"], self.options.dns is not None, rebuilt)]
+        if r["spf"] is not None:
+            sent = self.tables.auth_results.join(rebuilt, "report_id", "left_anti")
+            out.append(mailauth.mismatches(sent, r["dkim"], r["spf"], r["dmarc"]))
+        return out
+
+    def _of_services(self) -> list[DataFrame]:
+        """Findings of reputation services' recorded answers, and of content signatures."""
+        out, o, t = [], self.options, self.tables
+        if o.answers is not None or o.dns is not None:
+            asked = indicators.report_targets(self.extracted, org_domain(self.spark))
+            said = [enrich.recorded_answers(asked, o.answers)] if o.answers is not None else []
+            said += [enrich.routed_answers(asked, o.dns)] if o.dns is not None else []
+            out.append(enrich.findings(asked, enrich.summaries(reduce(DataFrame.unionByName, said)), t.messages))
+        if o.signatures is not None:
+            found = stage(signatures.scan(self.signature_targets, o.signatures), "signatures")
+            out += [signatures.findings(found), signatures.unscanned(self.signature_targets)]
+        return out
+
+    @property
+    def signature_targets(self) -> DataFrame:
+        """(report_id, part, data): whole messages, bodies, attachments and macros."""
+        name = F.concat(F.sha2("content", 256), F.lit("-"), F.substring(F.sha2(F.encode("path", "UTF-8"), 256), 1, 8))
+        raw = self.evidence.filter("content is not null").select(name.alias("report_id"), F.lit("message").alias("part"), F.col("content").alias("data"))
+        bodies = self.tables.bodies.select("report_id", F.concat(F.lit("body "), "mime_part").alias("part"), F.encode("preview", "UTF-8").alias("data"))
+        return raw.unionByName(bodies).unionByName(self.tables.attachments.select("report_id", "part", F.col("payload").alias("data"))).filter("data is not null")
+
     @cached_property
     def detected(self) -> DataFrame:
         """Findings before rules, each with its place in the report."""
-        t, m, spark = self.tables, self.tables.messages, self.spark
+        t, spark = self.tables, self.spark
+        # What couldn't be read has no headers that could be missing.
+        m = t.messages.filter("header_count is not null")
         protected = names.brand_domains(spark)
         own = spark.createDataFrame([(d,) for d in self.options.protected], "domain string") if self.options.protected else None
         if own is not None:
@@ -80,14 +146,14 @@ class Engine:
         hosts = sent.select("report_id", F.lower(F.substring_index("a", "@", -1)).alias("host"), F.lit("From").alias("location")).unionByName(self.urls.filter("host is not null").select("report_id", "host", F.lit("URL").alias("location"))).distinct()
         like = hosts.join(imitation.imitations(hosts.select("host"), protected), "host").select("report_id", "code", "severity", "location", F.to_json(F.struct("host", "imitates")).alias("evidence")).dropDuplicates(["report_id", "code", "location", "evidence"])
         in_bodies = t.links.join(t.attachments.select("report_id", "part"), ["report_id", "part"], "left_anti")
-        errors = detect.findings_of(m, detect.hit(F.col("error") == "ANALYSIS_TIMEOUT", "ANALYSIS_TIMEOUT", "medium"), detect.hit(F.col("error") != "ANALYSIS_TIMEOUT", "ANALYZER_ERROR", "low", None, error=F.col("error")), detect.hit(F.col("msg_format") == "msg", "MSG_SOURCE", "info"))
+        errors = detect.findings_of(t.messages, detect.hit(F.col("error") == "ANALYSIS_TIMEOUT", "ANALYSIS_TIMEOUT", "medium"), detect.hit(F.col("error") != "ANALYSIS_TIMEOUT", "ANALYZER_ERROR", "low", None, error=F.col("error")), detect.hit(F.col("msg_format") == "msg", "MSG_SOURCE", "info"), detect.hit(F.coalesce("modified_by", F.lit("")) != "", "MSG_LAST_MODIFIED_BY", "info", None, modified_by=F.col("modified_by")))
         every = detect.union([
-            detect.header_structure(m, t.headers), detect.sender_identity(m), detect.timeline(m, t.hops), detect.authentication(m, t.auth_results), detect.sending_software(m), detect.provider_path(m, t.hops), detect.provider_verdicts(m), names.impersonation(m, own), detect.limits(m),
+            detect.header_structure(m, t.headers), detect.sender_identity(m), detect.timeline(m, t.hops), detect.authentication(m, t.auth_results), detect.sending_software(m), detect.provider_path(m, t.hops), detect.provider_verdicts(m), names.impersonation(m, own), detect.limits(m), detect.structure(m, t.parts, t.bodies),
             detect.links(self.urls, in_bodies), detect.body(t.bodies), detect_files.pages(t.pages), detect_files.attachments(t.attachments), detect_files.archives(archives.archives(self.members, t.attachments), t.bodies), detect_files.script_files(self.scripts),
-            payloads.findings(self.facts, t.attachments), like, errors,
+            payloads.findings(self.facts, t.attachments), like, errors, *self._of_senders(), *self._of_services(),
         ])
         every = stage(every.distinct(), "findings")
-        return every.unionByName(detect.nested(m, every).select(*every.columns))
+        return every.unionByName(detect.nested(t.messages, every).select(*every.columns))
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -116,8 +182,7 @@ class Engine:
 
     @property
     def indicators(self) -> DataFrame:
-        i = indicators.extract(self.tables.messages, self.tables.hops, self.urls, self.tables.attachments, self.members)
-        return i.join(self.assessments.select("report_id", "verdict"), "report_id").join(self.tables.messages.select("report_id", F.col("sha256").alias("evidence_sha256")), "report_id")
+        return self.extracted.join(self.assessments.select("report_id", "verdict"), "report_id").join(self.tables.messages.select("report_id", F.col("sha256").alias("evidence_sha256")), "report_id")
 
     @property
     def reasons(self) -> DataFrame:

@@ -51,7 +51,7 @@ class MboxMessages:
     def eval(self, data: bytes):
         from siftwright.sources.mbox import split_mailbox
 
-        for i, m in enumerate(split_mailbox(iter(bytes(data or b"").splitlines(keepends=True)))):
+        for i, m in enumerate(split_mailbox(bytes(data or b""))):
             yield i, m
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftwright.plans.detect import findings_of, hit
 
-MOST_TARGET, MOST_MATCHES = 20 * 2**20, 100
+MOST_TARGET = 20 * 2**20
 MATCHES = "report_id string, part string, rule string, severity string, strings array<string>"
 
 
@@ -30,7 +30,7 @@ class Signature:
     def matches(self, data: bytes) -> list[str]:
         """The names of the strings that were found, if the condition holds; else none."""
         found = {n: p.search(data) is not None for n, p in self.strings.items()}
-        return [n for n, f in found.items() if f][:MOST_MATCHES] or [""] if _holds(self.condition, found, len(data)) else []
+        return [n for n, f in found.items() if f] or [""] if _holds(self.condition, found, len(data)) else []
 
 
 def _hex(body: str) -> re.Pattern:
@@ -173,6 +173,12 @@ def scan(targets: DataFrame, source: str) -> DataFrame:
     return targets.filter(F.length("data") <= MOST_TARGET).select("report_id", "part", "data").mapInPandas(run, MATCHES)
 
 
+def unscanned(targets: DataFrame) -> DataFrame:
+    """The finding of each report with targets that are too large to be scanned."""
+    big = targets.filter(F.length("data") > MOST_TARGET).groupBy("report_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("part")).alias("parts"))
+    return findings_of(big, hit(F.lit(True), "YARA_ERRORS", "low", None, count=F.col("n"), too_large=F.col("parts")))
+
+
 def findings(matches: DataFrame) -> DataFrame:
     severity = F.when(F.lower("severity").isin("info", "low", "medium", "high"), F.lower("severity")).otherwise("medium")
     return findings_of(matches, hit(F.lit(True), "YARA_MATCH", severity, F.col("part"), rule=F.col("rule"), strings=F.col("strings")))

@@ -19,6 +19,7 @@ COLUMNS = ["report_id", "code", "severity", "location", "evidence"]
 # Headers that may stand once, severities of authentication results, seconds of tolerance.
 SINGLE = "From Sender Reply-To To Cc Subject Date Message-ID".split()
 AUTH_SEVERITY = {"fail": "high", "softfail": "medium", "permerror": "low", "temperror": "low", "neutral": "low", "none": "low", "policy": "low"}
+TRANSFER_ENCODINGS = ["7bit", "8bit", "binary", "base64", "quoted-printable"]
 TOLERANCE_S, LONG_S, SKEW_S = 300, 3600, 3600
 # Sending software by pattern, the first that fits; and what its class means.
 MAILERS = (
@@ -223,6 +224,21 @@ def body(bodies: DataFrame) -> DataFrame:
     return union([hidden, findings_of(both, hit(tx.jaccard(F.col("p"), F.col("h")) < 0.2, "BODY_ALTERNATIVES_DIFFER", "medium"))])
 
 
+def structure(messages: DataFrame, parts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """MIME parts that are broken or encoded in no known way, encoded words that can't be read, character sets that don't fit, and messages without text."""
+    sound = F.lower("transfer_encoding").isin(TRANSFER_ENCODINGS)
+    text = bodies.groupBy("report_id").agg(F.bool_or((F.col("length") > 0) & (F.trim("preview") != "")).alias("readable"))
+    images = parts.filter(F.col("content_type").startswith("image/")).groupBy("report_id").agg(F.array_sort(F.collect_set("part")).alias("images"))
+    m = messages.filter("error is null").select("report_id").join(text, "report_id", "left").join(images, "report_id", "left")
+    silent = ~F.coalesce("readable", F.lit(False)) & F.col("images").isNotNull()
+    return union([
+        findings_of(parts, hit(F.col("transfer_encoding").isNotNull() & ~sound, "MIME_UNKNOWN_TRANSFER_ENCODING", "low", F.col("part"), encoding=F.col("transfer_encoding")), hit((F.col("depth") > 0) & (F.size("defects") > 0), "MIME_PART_DEFECTS", "low", F.col("part"), defects=F.col("defects"))),
+        findings_of(messages.select("report_id", F.explode("encoded_errors").alias("word")), hit(F.lit(True), "HDR_ENCODED_WORD_ERROR", "low", F.substring_index("word", ":", 1), encoded_word=F.col("word"))),
+        findings_of(bodies, hit(F.col("problem").isNotNull(), "BODY_CHARSET_PROBLEM", "low", F.col("mime_part"), problem=F.col("problem"))),
+        findings_of(m, hit(silent, "BODY_IMAGE_ONLY", "low", None, images=F.col("images")), hit(~silent & F.col("readable").isNull(), "BODY_NO_TEXT", "info")),
+    ])
+
+
 def limits(messages: DataFrame) -> DataFrame:
     """What the parse stage left out of ``messages(report_id, limits)``."""
     return findings_of(messages.select("report_id", F.explode("limits").alias("limit")), hit(F.lit(True), F.col("limit"), "medium"))

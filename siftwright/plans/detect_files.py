@@ -23,7 +23,7 @@ PASSWORD = r"(?iu)(?<!\w)(?:pass(?:word|wd|code|phrase)?|pwd|kennwort|passwort|c
 
 def pages(found: DataFrame) -> DataFrame:
     """Scripts, forms, frames, redirections, hidden text and remote loads of ``found`` pages."""
-    p = found.withColumn("words", F.aggregate(F.transform("hidden", lambda t: F.size(F.split(t, r"\s+"))), F.lit(0), lambda a, n: a + n))
+    p = found.withColumnRenamed("hidden_words", "words")
     at = F.col("part")
     each = found.select("report_id", "part", F.explode("forms").alias("form"))
     secret = F.array_contains("form.input_types", "password")

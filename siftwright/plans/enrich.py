@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.plans.detect import findings_of, hit, union
+from siftwright.sources import recordings
 
 MOST_LOOKUPS, TTL_S, YOUNG_DAYS, NEW_DAYS = 50, 86_400, 180, 30
+#: Parts that the targets of a provider are looked through in.
+PARTS = 1024
 # What each provider can be asked about.
-PROVIDERS = {"cymru": ["ip"], "rdap": ["domain"], "virustotal": ["ip", "domain", "url", "file"], "urlhaus": ["url", "domain"], "malwarebazaar": ["file"], "abuseipdb": ["ip"]}
+PROVIDERS = {"cymru": ["ip"], "rdap": ["domain"], "virustotal": ["ip", "domain", "url", "file"], "urlhaus": ["url", "domain", "file"], "malwarebazaar": ["file"], "abuseipdb": ["ip"]}
 
 
 def wanted(targets: DataFrame, cache: DataFrame | None = None, now_s: int = 0, most: int = MOST_LOOKUPS) -> DataFrame:
@@ -18,8 +21,41 @@ def wanted(targets: DataFrame, cache: DataFrame | None = None, now_s: int = 0, m
     pairs = targets.distinct().select("kind", "value", kinds.alias("x")).filter("kind = x.k").select(F.col("x.p").alias("provider"), "kind", "value")
     if cache is not None:
         pairs = pairs.join(cache.filter(F.col("stored_s") > now_s - TTL_S).select("provider", "kind", "value"), ["provider", "kind", "value"], "left_anti")
-    w = Window.partitionBy("provider").orderBy("kind", "value")
-    return pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    # The least of each of many parts first, so that no task has more than a bounded number of one provider's.
+    part = F.pmod(F.xxhash64("value"), F.lit(PARTS))
+    few = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("provider", part).orderBy("kind", "value"))).filter(F.col("_n") <= most)
+    return few.withColumn("_n", F.row_number().over(Window.partitionBy("provider").orderBy("kind", "value"))).filter(F.col("_n") <= most).drop("_n")
+
+
+def requests(targets: DataFrame) -> DataFrame:
+    """(provider, kind, value, request): how each provider is asked, as recordings name it."""
+    v, kind = F.col("value"), F.col("kind")
+    quoted = F.replace(F.url_encode(v), F.lit("+"), F.lit("%20"))
+    plain = F.regexp_replace(F.translate(F.regexp_replace(F.base64(F.encode(v, "UTF-8")), r"\s", ""), "+/", "-_"), "=+$", "")
+    path = F.when(kind == "file", F.concat(F.lit("files/"), v)).when(kind == "domain", F.concat(F.lit("domains/"), v)).when(kind == "ip", F.concat(F.lit("ip_addresses/"), v)).when(kind == "url", F.concat(F.lit("urls/"), plain))
+    form = lambda place, field: F.concat(F.lit(f'POST https://urlhaus-api.abuse.ch/v1/{place}/ {{"{field}": '), F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", ""), F.lit("}"))
+    asked = {
+        "rdap": F.when(kind == "domain", F.concat(F.lit("GET https://rdap.org/domain/"), quoted)), "virustotal": F.concat(F.lit("GET https://www.virustotal.com/api/v3/"), path),
+        "urlhaus": F.when(kind == "url", form("url", "url")).when(kind == "domain", form("host", "host")).when(kind == "file", form("payload", "sha256_hash")),
+        "malwarebazaar": F.when(kind == "file", F.concat(F.lit('POST https://mb-api.abuse.ch/api/v1/ {"hash": "'), v, F.lit('", "query": "get_info"}'))),
+        "abuseipdb": F.when(kind == "ip", F.concat(F.lit("GET https://api.abuseipdb.com/api/v2/check?ipAddress="), F.url_encode(v), F.lit("&maxAgeInDays=90"))),
+    }
+    each = F.array_compact(F.array(*[F.when(r.isNotNull(), F.struct(F.lit(p).alias("provider"), r.alias("request"))) for p, r in asked.items()]))
+    return targets.select("kind", "value").distinct().select("kind", "value", F.explode(each).alias("x")).select("x.provider", "kind", "value", "x.request")
+
+
+def recorded_answers(targets: DataFrame, recording: DataFrame) -> DataFrame:
+    """(provider, kind, value, response, error) of ``targets`` that ``recording(provider, request, response, error)`` has; a join on the request."""
+    return requests(targets).join(recording.select("provider", "request", "response", "error"), ["provider", "request"]).select("provider", "kind", "value", "response", "error")
+
+
+def routed_answers(targets: DataFrame, dns: DataFrame) -> DataFrame:
+    """The same of the networks that addresses are routed by, from recorded DNS answers; addresses of version 4."""
+    name = F.concat(F.array_join(F.reverse(F.split("value", r"\.")), "."), F.lit(".origin.asn.cymru.com"))
+    asked = targets.filter("kind = 'ip'").filter(F.col("value").rlike(r"^\d+\.\d+\.\d+\.\d+$")).select("kind", "value").distinct().withColumn("name", name).withColumn("type", F.lit("TXT"))
+    said = recordings.answered(asked, dns).filter("answers is not null and size(answers) > 0")
+    asn = F.trim(F.split(F.get("answers", F.lit(0)), r"\|")[0])
+    return said.select(F.lit("cymru").alias("provider"), "kind", "value", F.to_json(F.struct(asn.alias("asn"))).alias("response"), F.lit(None).cast("string").alias("error"))
 
 
 def summaries(answers: DataFrame) -> DataFrame:

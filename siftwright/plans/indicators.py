@@ -73,10 +73,17 @@ def search(indicators: DataFrame, subjects: DataFrame, query: str, kind: str | N
     return some.select("report_id", "type", "value").unionByName(titles).distinct()
 
 
-def targets(indicators: DataFrame, org: Column) -> DataFrame:
-    """(kind, value): what reputation services are asked about: distinct public addresses, organisational domains, URLs, digests."""
-    t = indicators
-    return reduce(DataFrame.unionByName, [
-        t.filter(F.col("type").isin("ipv4", "ipv6")).select(F.lit("ip").alias("kind"), "value"), t.filter("type = 'domain'").select(F.lit("domain").alias("kind"), org.alias("value")),
-        t.filter("type = 'url'").select(F.lit("url").alias("kind"), "value"), t.filter("type = 'sha256'").select(F.lit("file").alias("kind"), F.lower("value").alias("value")),
-    ]).filter("value <> ''").distinct()
+def report_targets(indicators: DataFrame, org) -> DataFrame:
+    """(report_id, kind, value): what reputation services are asked about for each report: public addresses, organisational domains, URLs, digests.
+
+    ``org`` is the function of :func:`siftwright.functions.domains.org_domain`.
+    """
+    t, kind = indicators, F.col("type")
+    name = F.when(kind.isin("ipv4", "ipv6"), "ip").when(kind == "domain", "domain").when(kind == "url", "url").when(kind == "sha256", "file")
+    value = F.when(kind == "domain", org(F.col("value"))).when(kind == "sha256", F.lower("value")).otherwise(F.col("value"))
+    return t.select("report_id", name.alias("kind"), value.alias("value")).filter("kind is not null and value <> ''").distinct()
+
+
+def targets(indicators: DataFrame, org) -> DataFrame:
+    """(kind, value): the distinct ones of all reports."""
+    return report_targets(indicators, org).select("kind", "value").distinct()

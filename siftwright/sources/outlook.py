@@ -142,17 +142,22 @@ def to_internet(data: bytes) -> bytes:
     return convert(cf).as_bytes(policy=policy.compat32)
 
 
+def modified_by(data: bytes) -> str | None:
+    """Who changed an Outlook file last, as it says itself."""
+    return Properties(Compound(data), (), 32).text(MODIFIED_BY)
+
+
 def converted(files: DataFrame) -> DataFrame:
-    """``files(path, content)`` of Outlook messages as (path, content, msg_format, error); the content is null where it can't be read."""
+    """``files(path, content)`` of Outlook messages as (path, content, msg_format, modified_by, error); the content is null where it can't be read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for r in f.itertuples():
                 try:
-                    rows.append((r.path, to_internet(bytes(r.content)), "msg", None))
+                    rows.append((r.path, to_internet(bytes(r.content)), "msg", modified_by(bytes(r.content)), None))
                 except Exception as e:
-                    rows.append((r.path, None, "msg", f"{type(e).__name__}: {e}"[:300]))
-            yield pd.DataFrame(rows, columns=["path", "content", "msg_format", "error"])
+                    rows.append((r.path, None, "msg", None, f"{type(e).__name__}: {e}"[:300]))
+            yield pd.DataFrame(rows, columns=["path", "content", "msg_format", "modified_by", "error"])
 
-    return files.filter("content is not null").select("path", "content").mapInPandas(run, "path string, content binary, msg_format string, error string")
+    return files.filter("content is not null").select("path", "content").mapInPandas(run, "path string, content binary, msg_format string, modified_by string, error string")

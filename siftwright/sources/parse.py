@@ -7,11 +7,14 @@ it goes: no message stops a batch.
 
 from __future__ import annotations
 
+import binascii
 import hashlib
 import ipaddress
+import quopri
 import re
 import signal
 import threading
+import time
 from collections.abc import Iterator
 from email import message_from_bytes, policy
 from email.generator import BytesGenerator
@@ -26,24 +29,29 @@ from pyspark.sql import functions as F
 
 from siftwright.functions.filetype import PAGE, TYPES, detect, extension_of
 from siftwright.functions.text import BIDI, ZERO_WIDTH
-from siftwright.sources.html import read_page
+from siftwright.operators import mailauth
+from siftwright.sources import outlook
+from siftwright.sources.html import read_page, urls_in
 
 LARGEST, PREVIEW, MOST_PARTS, DEEPEST, NESTING, MOST_NESTED = 100 * 2**20, 4000, 1000, 20, 3, 20
 SCHEMA = (
     "report_id string, path string, msg_format string, sha256 string, md5 string, size_bytes long, container string, container_sha256 string, parent_report_id string, mime_part string, depth int, "
     "subject string, date_hdr string, date_us long, date_offset_s int, message_id string, from_address string, from_display_name string, from_count int, return_path string, sender string, "
     "reply_to array<string>, to_addrs array<string>, cc_addrs array<string>, x_mailer string, x_originating_ip string, php_script string, forefront string, antispam string, scl string, auth_as string, "
-    "spam_status string, spam_flag string, header_count int, defects array<string>, error string, limits array<string>, "
+    "spam_status string, spam_flag string, header_count int, defects array<string>, error string, limits array<string>, modified_by string, encoded_errors array<string>, "
+    f"dkim {mailauth.SIGNATURES}, arc {mailauth.CHAIN}, "
     "headers array<struct<pos: int, name: string, raw: string, decoded: string>>, "
     "hops array<struct<idx: int, raw: string, from_host: string, from_ip: string, by_host: string, protocol: string, id: string, for_address: string, utc_us: bigint, offset_s: int, ip_is_private: boolean>>, "
     "auth_results array<struct<pos: int, authserv_id: string, method: string, result: string, properties: map<string, string>>>, "
     "parts array<struct<part: string, depth: int, content_type: string, charset: string, transfer_encoding: string, disposition: string, filename: string, size: bigint, sha256: string, is_attachment: boolean, defects: array<string>>>, "
     "bodies array<struct<mime_part: string, content_type: string, length: bigint, preview: string, problem: string, zero_width: int, bidi: int>>, "
     "links array<struct<seq: int, part: string, source: string, url: string, text: string>>, "
-    "pages array<struct<part: string, text: string, hidden: array<string>, forms: array<struct<action: string, method: string, input_types: array<string>>>, handlers: array<string>, scripts: int, frames: array<string>, refresh: string, base: string, pixels: array<string>, remote: int, images: int, truncated: boolean>>, "
+    "pages array<struct<part: string, text: string, hidden: array<string>, hidden_words: int, forms: array<struct<action: string, method: string, input_types: array<string>>>, handlers: array<string>, scripts: int, frames: array<string>, refresh: string, base: string, pixels: array<string>, remote: int, images: int, truncated: boolean>>, "
     "attachments array<struct<part: string, filename: string, type_name: string, content_type: string, extension: string, detected_type: string, size: bigint, sha256: string, sha1: string, md5: string, payload: binary>>"
 )
-_TEXT_URL = re.compile(r"(?:\b(?:https?|ftp)://|\bwww\.)[^\s<>\"'`]+", re.I)
+_WORD = re.compile(r"=\?([^?\s]+)\?([bq])\?([^?\s]*)\?=", re.I)
+#: Headers whose encoded words are checked.
+ENCODED = ("subject", "from", "to", "cc", "reply-to", "sender")
 
 
 def clean(text: str | None) -> str | None:
@@ -64,6 +72,20 @@ def decoded(value: str) -> str:
         return value
 
 
+def word_problem(charset: str, how: str, text: str) -> str | None:
+    """What is wrong with an encoded word; null for a sound one."""
+    try:
+        data = binascii.a2b_base64(text + "=" * (-len(text) % 4), strict_mode=True) if how in "bB" else quopri.decodestring(text.replace("_", " "))
+        data.decode(charset.partition("*")[0])
+    except LookupError:
+        return "unknown charset"
+    except UnicodeDecodeError:
+        return "bytes of another charset"
+    except ValueError:
+        return "broken base64"
+    return None
+
+
 def unfolded(value: str) -> str:
     return re.sub(r"\r?\n[ \t]+", " ", value).strip()
 
@@ -151,18 +173,21 @@ def leaves(msg: Message, part: str = "", depth: int = 0) -> Iterator[tuple[str,
         yield part or "1", depth, msg
 
 
-def parse_message(path: str, data: bytes, fmt: str = "eml", container: str | None = None, container_sha256: str | None = None, parent: str | None = None, mime_part: str | None = None, depth: int = 0) -> list[dict]:
+def parse_message(
+    path: str, data: bytes, fmt: str = "eml", container: str | None = None, container_sha256: str | None = None, parent: str | None = None, mime_part: str | None = None, depth: int = 0, nesting: int = NESTING, modified_by: str | None = None, now: float | None = None
+) -> list[dict]:
     """The row of a message, and after it those of the messages attached to it."""
     sha = hashlib.sha256(data).hexdigest()
     row: dict = {"report_id": f"{sha}-{hashlib.sha256(path.encode('utf-8', 'backslashreplace')).hexdigest()[:8]}", "path": path, "msg_format": fmt, "sha256": sha, "md5": hashlib.md5(data).hexdigest(), "size_bytes": len(data)}
-    row |= {"container": container, "container_sha256": container_sha256, "parent_report_id": parent, "mime_part": mime_part, "depth": depth}
-    for k in ("headers", "hops", "auth_results", "parts", "bodies", "links", "pages", "attachments", "reply_to", "to_addrs", "cc_addrs", "defects", "limits"):
+    row |= {"container": container, "container_sha256": container_sha256, "parent_report_id": parent, "mime_part": mime_part, "depth": depth, "modified_by": modified_by}
+    for k in ("headers", "hops", "auth_results", "parts", "bodies", "links", "pages", "attachments", "reply_to", "to_addrs", "cc_addrs", "defects", "limits", "encoded_errors", "dkim"):
         row[k] = []
     more: list[dict] = []
     try:
         msg = message_from_bytes(data, policy=policy.compat32)
         _headers(row, msg)
-        _parts(row, msg, more, path, depth)
+        _parts(row, msg, more, path, depth, nesting)
+        row["dkim"], row["arc"] = mailauth.facts(data, time.time() if now is None else now)
     except Exception as e:
         row["error"] = f"{type(e).__name__}: {e}"[:300]
     return [row, *more]
@@ -173,6 +198,7 @@ def _headers(row: dict, msg: Message) -> None:
     every = lambda name: [v for n, v in items if n.lower() == name]
     first = lambda name: decoded(every(name)[0]) if every(name) else None
     row["headers"] = [{"pos": i, "name": clean(n), "raw": v, "decoded": clean(decoded(v))} for i, (n, v) in enumerate(items)]
+    row["encoded_errors"] = [f"{name}: {m[0][:200]} ({wrong})" for name in ENCODED for v in every(name) for m in _WORD.finditer(v) if (wrong := word_problem(*m.groups()))]
     senders = addresses(every("from")[:1])
     row |= {"subject": first("subject"), "date_hdr": first("date"), "message_id": first("message-id"), "x_mailer": first("x-mailer") or first("user-agent"), "x_originating_ip": first("x-originating-ip")}
     row |= {"php_script": first("x-php-originating-script") or first("x-php-script"), "forefront": first("x-forefront-antispam-report"), "antispam": first("x-microsoft-antispam"), "scl": first("x-ms-exchange-organization-scl")}
@@ -187,7 +213,20 @@ def _headers(row: dict, msg: Message) -> None:
     row["auth_results"] = [r for i, v in enumerate(every("authentication-results")) for r in authentication_results(v, i)]
 
 
-def _parts(row: dict, msg: Message, more: list[dict], path: str, depth: int) -> None:
+def _carried(data: bytes, name: str | None) -> tuple[bytes, str] | None:
+    """(bytes, format) of a message that is attached as a file: an internet message, or an Outlook file by its name and content."""
+    ending = extension_of(name)
+    if ending == "eml":
+        return data, "file"
+    if ending == "msg" and data.startswith(b"\xd0\xcf\x11\xe0"):
+        try:
+            return outlook.to_internet(data), "msg"
+        except Exception:
+            return None
+    return None
+
+
+def _parts(row: dict, msg: Message, more: list[dict], path: str, depth: int, nesting: int) -> None:
     links, seq = [], 0
 
     def link(part: str, source: str, url: str, text: str | None) -> None:
@@ -203,18 +242,21 @@ def _parts(row: dict, msg: Message, more: list[dict], path: str, depth: int) ->
         inner = leaf.get_payload()
         if leaf.get_content_maintype() == "multipart" and isinstance(inner, list) and "MIME_TOO_DEEP" not in row["limits"]:
             row["limits"].append("MIME_TOO_DEEP")
-        if kind == "message/rfc822" and isinstance(inner, list) and inner:
+        name = clean(decoded(str(leaf.get_filename()))) if leaf.get_filename() else None
+        whole = kind in ("message/rfc822", "message/global") and isinstance(inner, list) and bool(inner)
+        if whole:
             data = _bytes_of(inner[0])
-            if depth < NESTING and len(more) < MOST_NESTED:
-                more += parse_message(f"{path}!{part}", data, "attached", None, None, row["report_id"], part, depth + 1)
-            elif "NESTED_MESSAGE_SKIPPED" not in row["limits"]:
-                row["limits"].append("NESTED_MESSAGE_SKIPPED")
         else:
             try:
                 data = leaf.get_payload(decode=True) or b""
             except Exception:
                 data = str(inner).encode("utf-8", "backslashreplace")
-        name = clean(decoded(str(leaf.get_filename()))) if leaf.get_filename() else None
+        carried = _carried(data, name) if not whole else (data, "attached")
+        if carried is not None and data:
+            if depth < nesting and len(more) < MOST_NESTED:
+                more += parse_message(f"{path}!{part}", carried[0], carried[1], None, None, row["report_id"], part, depth + 1, nesting)
+            elif "NESTED_MESSAGE_SKIPPED" not in row["limits"]:
+                row["limits"].append("NESTED_MESSAGE_SKIPPED")
         disposition = leaf.get_content_disposition()
         apart = disposition == "attachment" or kind not in ("text/plain", "text/html") or (name is not None and disposition != "inline")
         digest = hashlib.sha256(data).hexdigest()
@@ -237,13 +279,12 @@ def _parts(row: dict, msg: Message, more: list[dict], path: str, depth: int) ->
                 link(part, source, url, t)
             row["pages"].append({"part": part, **{k: v for k, v in page.items() if k != "links"}})
             text = page["text"]
-            for m in _TEXT_URL.finditer(text):
-                if (u := m[0].rstrip(".,;:!?)]}'\">")) not in said and len(u) > 4:
+            for u in urls_in(text):
+                if u not in said:
                     link(part, "text", u, None)
         else:
-            for m in _TEXT_URL.finditer(text):
-                if len(u := m[0].rstrip(".,;:!?)]}'\">")) > 4:
-                    link(part, "text", u, None)
+            for u in urls_in(text):
+                link(part, "text", u, None)
         row["bodies"].append({"mime_part": part, "content_type": kind, "length": len(data), "preview": text[:PREVIEW], "problem": problem, "zero_width": count_of(text, ZERO_WIDTH), "bidi": count_of(text, BIDI)})
     row["links"] = links
 
@@ -271,25 +312,31 @@ def _in_time(seconds: float | None, path: str, data: bytes, **kw) -> list[dict]:
         signal.signal(signal.SIGALRM, before)
 
 
-def parsed(evidence: DataFrame, timeout: float | None = None) -> DataFrame:
-    """Rows of :data:`SCHEMA` for ``evidence(path, content[, msg_format, container, container_sha256])``."""
-    given = [c for c in ("msg_format", "container", "container_sha256") if c in evidence.columns]
+def parsed(evidence: DataFrame, timeout: float | None = None, nesting: int = NESTING, now: float | None = None) -> DataFrame:
+    """Rows of :data:`SCHEMA` for ``evidence(path, content[, msg_format, container, container_sha256, modified_by, unread])``.
+
+    Messages attached to messages are followed ``nesting`` levels down. Evidence without content is left out, unless ``unread`` says why it has none.
+    """
+    given = [c for c in ("msg_format", "container", "container_sha256", "modified_by") if c in evidence.columns]
+    unread = F.col("unread") if "unread" in evidence.columns else F.lit(None).cast("string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for r in f.to_dict("records"):
                 kw = {("fmt" if k == "msg_format" else k): r[k] for k in given if r[k] is not None}
-                if r["_size"] > largest:
+                if r["unread"] is not None:
+                    out.append(parse_message(r["path"], b"", **kw)[0] | {"sha256": None, "md5": None, "size_bytes": None, "error": r["unread"], "dkim": [], "arc": None})
+                elif r["_size"] > largest:
                     out.append(parse_message(r["path"], b"", **kw)[0] | {"sha256": r["_sha"], "md5": None, "size_bytes": r["_size"], "error": f"too large: {r['_size']} bytes"})
                 else:
-                    out += _in_time(timeout, r["path"], bytes(r["content"]), **kw)
+                    out += _in_time(timeout, r["path"], bytes(r["content"]), nesting=nesting, now=now, **kw)
             full = [{k: r.get(k) for k in TOP} for r in out]
             yield pd.DataFrame(full, columns=TOP)
 
     size, largest = F.length("content"), LARGEST
     whole = F.when(size <= largest, F.col("content")).alias("content")
-    return evidence.filter("content is not null").select("path", whole, *given, size.alias("_size"), F.when(size > LARGEST, F.sha2("content", 256)).alias("_sha")).mapInPandas(run, SCHEMA)
+    return evidence.withColumn("unread", unread).filter("content is not null or unread is not null").select("path", whole, *given, "unread", size.alias("_size"), F.when(size > LARGEST, F.sha2("content", 256)).alias("_sha")).mapInPandas(run, SCHEMA)
 
 
 def _top_level(ddl: str) -> list[str]:
@@ -312,7 +359,7 @@ class Evidence:
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
-        self.messages = rows.drop("headers", "hops", "auth_results", "parts", "bodies", "links", "pages", "attachments")
+        self.messages = rows.drop("headers", "hops", "auth_results", "parts", "bodies", "links", "pages", "attachments", "dkim", "arc")
 
     def _each(self, column: str) -> DataFrame:
         return self.rows.select("report_id", F.explode(column).alias("_x")).select("report_id", "_x.*")
@@ -339,3 +386,9 @@ def sniffed(files: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Message files of a folder, sniffed; the size guard is pushed to the scan."""
     return sniffed(spark.read.format("binaryFile").load(path).filter(F.col("length") <= LARGEST))
+
+
+def large_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, is_box) of the files over that size, by their listing only: those with a mailbox's ending are read as such."""
+    big = spark.read.format("binaryFile").load(path).filter(F.col("length") > LARGEST).select("path", "length")
+    return big.withColumn("is_box", F.lower("path").rlike(r"\.(mbox|mbx)$"))

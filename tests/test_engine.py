@@ -150,8 +150,7 @@ def test_pages():
 
 def test_mailboxes(spark, tmp_path):
     (tmp_path / "box.mbox").write_bytes(b"From a@b Mon Jan  9 10:00:00 2023\nSubject: one\n\n>From here\nbody\n\nFrom a@b Mon Jan  9 11:00:00 2023\nSubject: two\n\nFrom the desk\n\n")
-    mbox.register(spark)
-    rows = spark.read.format("mbox").load(str(tmp_path / "box.mbox")).orderBy("path").collect()
+    rows = mbox.messages(spark, [str(tmp_path / "box.mbox")]).orderBy("path").collect()
     assert [bytes(r.content) for r in rows] == [b"Subject: one\n\nFrom here\nbody\n", b"Subject: two\n\nFrom the desk\n"] and rows[0].path.endswith("#0") and len(rows[0].container_sha256) == 64
     kinds = {r.path.rsplit("/", 1)[1]: r.msg_format for r in parse.sniffed(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
     assert kinds == {"box.mbox": "mbox"}

@@ -43,13 +43,14 @@ def test_folder(spark, tmp_path):
     made = rules.parse_rules([{"id": "inv", "severity": "high", "all": [{"field": "subject", "contains": "invoice"}]}, {"id": "off", "action": "suppress", "suppress": ["HDR_MAILER_SCRIPT"], "all": [{"field": "score", "gte": 50}]}])
     e = Engine.of_folder(spark, str(tmp_path), Options(protected=("corp.test",), rules=tuple(made), timeout=20, min_severity="low"))
     got = {r.path.rsplit("/", 1)[1]: (r.verdict, r.score) for r in e.assessments.join(e.tables.messages, "report_id").collect()}
-    assert set(got) == {"a.eml", "a.eml!2", "b.eml", "c.msg", "e.mbox#0", "e.mbox#1"} and got["a.eml"][0] == "malicious" and got["b.eml"] == ("clean", 0)
+    assert set(got) == {"a.eml", "a.eml!2", "b.eml", "c.msg", "d.msg", "e.mbox#0", "e.mbox#1"} and got["a.eml"][0] == "malicious" and got["b.eml"] == ("clean", 0)
     codes = {(r.path.rsplit("/", 1)[1], r.code) for r in e.findings.join(e.tables.messages, "report_id").collect()}
     assert {("c.msg", "MSG_SOURCE"), ("c.msg", "ATT_DOUBLE_EXTENSION"), ("e.mbox#1", "RULE_INV"), ("e.mbox#1", "HDR_DISPLAY_NAME_BRAND"), ("a.eml", "NESTED_MESSAGE_SUSPICIOUS")} <= codes and ("a.eml", "HDR_MAILER_SCRIPT") not in codes
-    assert e.shown.filter("severity = 'info'").count() == 0 and e.fails("malicious") and e.events("2025-01-01").count() == 6
+    assert {c for p, c in codes if p == "d.msg"} == {"ANALYZER_ERROR", "MSG_SOURCE"}  # it can't be read, and isn't left out
+    assert e.shown.filter("severity = 'info'").count() == 0 and e.fails("malicious") and e.events("2025-01-01").count() == 7
     assert e.indicators.filter("type = 'domain' and value = 'u.test'").count() == 1 and e.reasons.groupBy("report_id").count().filter("count > 10").count() == 0
     s = {r.report_id: r for r in score.summary(e.assessments, e.findings).collect()}
-    assert len(s) == 6 and all(r.high >= len(r.top_codes) for r in s.values())
+    assert len(s) == 7 and all(r.high >= len(r.top_codes) for r in s.values())
 
 
 def test_display_names(spark):
