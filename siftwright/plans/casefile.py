@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -53,6 +52,11 @@ class Case:
         (row,) = case.append_entries([{"time": now, "action": action, "examiner": self.examiner, "details": details}], last.hash if last else case.GENESIS, (last.seq if last else 0) + 1)
         self.spark.createDataFrame([tuple(row[c.split(" ")[0]] for c in case.LOG.split(", "))], case.LOG).write.mode("append").parquet(f"{self.folder}/custody")
 
+    def init(self) -> None:
+        """Begin the custody log; a case that has one is left as it is."""
+        if not self.log.limit(1).count():
+            self._log("init", {})
+
     def add(self, files: DataFrame) -> int:
         """Take in ``files(path, content[, msg_format])`` that the case doesn't have, each content once; how many these were."""
         given = files if "msg_format" in files.columns else files.withColumn("msg_format", F.lit("eml"))
@@ -61,7 +65,7 @@ class Case:
         n = new.count()
         if n:
             new.write.mode("append").parquet(f"{self.folder}/evidence")
-            digest = new.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256)).first()[0] if n <= 100_000 else None
+            digest = set_digest(new)
             self._log("add", {"files": n, "digest": digest})
         return n
 
@@ -87,7 +91,17 @@ class Case:
 
     def tally(self) -> DataFrame:
         """(verdict, reports): how many reports came to each verdict."""
-        return self.index.groupBy("verdict").agg(F.count("*").alias("reports"))
+        return score.tally(self.index).filter("verdict is not null and tens is null").select("verdict", "reports")
+
+    def report(self, folder: str) -> None:
+        """Write the case's page, its indicators as CSV and its index, worst first, to a folder."""
+        from siftwright.plans import report, sinks
+
+        rows = self.index.withColumn("line", F.concat_ws(" ", F.col("score").cast("string"), "verdict", "from_address", "subject"))
+        sinks.csv_rows(self.indicators).write.mode("overwrite").option("header", True).csv(f"{folder}/iocs")
+        rows.drop("line").orderBy(F.desc("score"), "report_id").write.mode("overwrite").option("header", True).csv(f"{folder}/index")
+        report.case_page(self.tally(), rows, self.shared(), self.log).write.mode("overwrite").text(f"{folder}/page")
+        self._log("report", {"folder": folder})
 
     def worst(self) -> DataFrame:
         return self.index.orderBy(F.desc(F.coalesce("score", F.lit(0))), "report_id")
@@ -96,11 +110,22 @@ class Case:
         """(kind, detail) of what isn't as it was: log entries, and evidence whose bytes changed."""
         custody = case.verify_log(self.log).select(F.lit("custody").alias("kind"), F.concat_ws(" ", F.col("seq").cast("string"), "problem").alias("detail"))
         altered = self.evidence.filter(F.sha2("content", 256) != F.col("sha256")).select(F.lit("evidence").alias("kind"), F.col("path").alias("detail"))
-        logged = sum(json.loads(r.details).get("files", 0) for r in self.log.filter("action = 'add'").select("details").collect())
-        count = self.spark.range(1).filter(F.lit(logged != self.evidence.count())).select(F.lit("evidence").alias("kind"), F.lit("count differs from the log").alias("detail"))
+        logged = self.log.filter("action = 'add'").agg(F.coalesce(F.sum(F.get_json_object("details", "$.files").cast("long")), F.lit(0)).alias("logged"))
+        held = self.evidence.agg(F.count("*").alias("held"))
+        count = logged.join(held, F.col("logged") != F.col("held")).select(F.lit("evidence").alias("kind"), F.lit("count differs from the log").alias("detail"))
         return custody.unionByName(altered).unionByName(count)
 
 
+def set_digest(files: DataFrame) -> str:
+    """A digest of ``files(sha256)`` as a multiset, whatever their order and number: sums of the digests' quarters, each modulo 2 ** 64.
+
+    Partial sums meet in one row, so no task has more than that of the digests.
+    """
+    quarters = [F.sum(F.conv(F.substring("sha256", 1 + 16 * i, 16), 16, 10).cast("decimal(28,0)")).alias(f"q{i}") for i in range(4)]
+    row = files.agg(F.count("*").alias("n"), *quarters).first()
+    return f"{row.n}:" + "".join(f"{int(row[f'q{i}'] or 0) % 2**64:016x}" for i in range(4))
+
+
 def as_bad_as(index: DataFrame, verdict: str) -> DataFrame:
     """The index rows of a verdict or a worse one."""
     least = next(s for s, v in score.VERDICTS if v == verdict)

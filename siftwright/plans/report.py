@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +71,18 @@ def as_page(rows: DataFrame) -> DataFrame:
 def at_least(findings: DataFrame, severity: str) -> DataFrame:
     """The findings of a severity or a worse one."""
     return findings.filter(severity_rank(F.col("severity")) >= severity_rank(F.lit(severity)))
+
+
+def case_page(tally: DataFrame, index: DataFrame, shared: DataFrame, log: DataFrame) -> DataFrame:
+    """(value): the lines of a case's page in order: verdicts, its reports from the worst on, indicators that reports share, and its log."""
+    show = lambda c: html_escape(defang(F.coalesce(c.cast("string"), F.lit("-"))))
+    row = lambda *cols: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), show(F.col(c)), F.lit("</td>")) for c in cols], F.lit("</tr>"))
+    spark = tally.sparkSession
+    fixed = [(0, _PAGE.format(title="Case") + "<h1>Case</h1><h2>Verdicts</h2><table>"), (2, "</table><h2>Reports</h2><table>"), (4, "</table><h2>Shared indicators</h2><table>"), (6, "</table><h2>Custody</h2><table>"), (8, "</table></body></html>")]
+    parts = [
+        spark.createDataFrame(fixed, "section int, value string").select("section", F.lit(0.0).alias("at"), F.lit("").alias("then"), "value"), tally.select(F.lit(1).alias("section"), (-F.col("reports")).cast("double").alias("at"), F.col("verdict").alias("then"), row("verdict", "reports").alias("value")),
+        index.select(F.lit(3).alias("section"), (-F.coalesce("score", F.lit(0))).cast("double").alias("at"), F.col("report_id").alias("then"), row("score", "verdict", "from_address", "subject", "sha256").alias("value")),
+        shared.select(F.lit(5).alias("section"), (-F.col("reports")).cast("double").alias("at"), F.concat_ws("|", "type", "value").alias("then"), row("type", "value", "reports").alias("value")),
+        log.select(F.lit(7).alias("section"), F.col("seq").cast("double").alias("at"), F.lit("").alias("then"), row("seq", "time", "action", "examiner", "hash").alias("value")),
+    ]
+    return reduce(DataFrame.unionByName, parts).orderBy("section", "at", "then").select("value")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions.ids import stix_id
 from siftwright.functions.text import cef_escape, csv_safe, stix_escape
+from siftwright.session import stage
 
 TOOL, VERSION = "siftwright", "0.1.0"
 # Pattern paths by type; MISP types by type and role, else by type.
@@ -92,26 +93,32 @@ def cef(messages: DataFrame, assessments: DataFrame, findings: DataFrame, rt_ms:
 
 
 def extract_attachments(attachments: DataFrame, folder: str) -> DataFrame:
-    """Write each distinct payload as ``<sha256>.bin`` to a folder that all executors share; the manifest of what was written.
+    """Write each distinct payload as ``<sha256>.bin`` to a folder that all executors share; the manifest of what was written, which also is beside it.
 
-    Files are renamed into place whole and can only be read, so a task that runs twice does no harm.
+    ``folder`` is a path or the address of a file system that pyarrow knows (file, hdfs, s3, gs). Files are
+    moved into place whole, so a task that runs twice does no harm.
     """
-    import os
-    import tempfile
-
     once = attachments.filter("payload is not null").select("sha256", "payload").dropDuplicates(["sha256"])
-
-    def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            target = os.path.join(folder, f"{r.sha256}.bin")
-            if os.path.exists(target):
-                continue
-            handle, part = tempfile.mkstemp(dir=folder, prefix=".part-")
-            with os.fdopen(handle, "wb") as f:
-                f.write(bytes(r.payload))
-            os.chmod(part, 0o444)
-            os.replace(part, target)
-
-    once.foreachPartition(write)
-    return attachments.select("report_id", "part", "filename", "sha256", "size", "detected_type", F.concat("sha256", F.lit(".bin")).alias("file"))
+    uri = folder if "://" in folder else "file://" + folder
+
+    def write(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        place, root = fs.FileSystem.from_uri(uri)
+        place.create_dir(root, recursive=True)
+        for b in batches:
+            for sha, payload in zip(b.column("sha256").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                target = f"{root}/{sha}.bin"
+                if place.get_file_info(target).type == fs.FileType.NotFound:
+                    part = f"{root}/.part-{uuid.uuid4().hex}"
+                    with place.open_output_stream(part) as f:
+                        f.write(payload)
+                    place.move(part, target)
+            yield b.select(["sha256"])
+
+    written = once.mapInArrow(write, "sha256 string")
+    manifest = attachments.join(stage(written, "extracted"), "sha256", "left_semi").select("report_id", "part", "filename", "sha256", "size", "detected_type", F.concat("sha256", F.lit(".bin")).alias("file"))
+    manifest.write.mode("overwrite").json(f"{uri}-manifest")
+    return manifest

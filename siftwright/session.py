@@ -40,11 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for stages: the cluster's, or one of our own where the session names none."""
+    """The folder for stages: the cluster's, or one of our own where the session names none and all of it runs in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="siftwright-")
         atexit.register(_drop_local, _OWN[app])

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwright.sources import mbox, outlook, parse
+
 FILES = "path string, modificationTime timestamp, length long, content binary"
 #: Endings that are taken; names without a dot are too.
 ENDINGS = ("eml", "msg", "mbox", "mbx", "txt")
@@ -40,11 +42,27 @@ def run(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], Non
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def evidence_of(batch: DataFrame) -> DataFrame:
+    """Evidence of a batch of files of any kind: internet messages, Outlook files and mailboxes message by message; what can't be read has a row that says so."""
+    spark, none = batch.sparkSession, F.lit(None).cast("string")
+    absent = {"container": none, "container_sha256": none, "modified_by": none, "unread": none}
+    files = parse.sniffed(batch)
+    eml = files.filter("msg_format = 'eml'").select("path", "content", "msg_format").withColumns(absent)
+    msg = outlook.converted(files.filter("msg_format = 'msg'")).withColumns(absent | {"modified_by": F.col("modified_by"), "unread": F.col("error")})
+    boxes = [r.path for r in files.filter("msg_format = 'mbox'").select("path").collect()]
+    out = eml.unionByName(msg.select(*eml.columns))
+    return out.unionByName(mbox.messages(spark, boxes).withColumns({"modified_by": none, "unread": none}).select(*eml.columns)) if boxes else out
+
+
 def to_folder(analyse: Callable[[DataFrame], DataFrame], folder: str) -> Callable[[DataFrame, int], None]:
-    """A sink that writes each batch's analysis as JSON lines to a folder of its own."""
+    """A sink that writes each batch's analysis as JSON lines to a folder of its own; a batch that fails leaves its files and the error beside it, and the next goes on."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        analyse(batch).write.mode("overwrite").json(f"{folder}/batch={number}")
+        try:
+            analyse(batch).write.mode("overwrite").json(f"{folder}/batch={number}")
+        except Exception as e:
+            failed = batch.select("path", F.lit(f"{type(e).__name__}: {e}"[:2000]).alias("error"))
+            failed.write.mode("overwrite").json(f"{folder}-errors/batch={number}")
 
     return sink
 
