@@ -171,6 +171,11 @@ def consistent(values: DataFrame, names: DataFrame) -> tuple[DataFrame, Reader]:
     """
     distinct = values.filter("value is not null").groupBy("field_name", "value").agg(F.count("*").alias("n"))
     reader = Reader(letter_model(distinct, names))
+    return _formed(distinct, reader), reader
+
+
+def _formed(values: DataFrame, reader: Reader) -> DataFrame:
+    """``values(field_name, value, ...)`` as (field_name, value, form), in Arrow batches; the scores, of bounded size, are broadcast."""
     held = values.sparkSession.sparkContext.broadcast(reader.scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +185,7 @@ def consistent(values: DataFrame, names: DataFrame) -> tuple[DataFrame, Reader]:
             forms = [one.read(shown(t) if k == "host" else t) for k, t in zip(kinds, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("field_name"), b.column("value"), pa.array(forms, pa.string())], names=["field_name", "value", "form"])
 
-    return distinct.select("field_name", "value").mapInArrow(run, "field_name string, value string, form string"), reader
+    return values.select("field_name", "value").mapInArrow(run, "field_name string, value string, form string")
 
 
 def look_alikes(values: DataFrame, watch: DataFrame) -> DataFrame:
@@ -194,7 +199,7 @@ def look_alikes(values: DataFrame, watch: DataFrame) -> DataFrame:
     """
     watch = watch.filter("canonical is not null and canonical <> ''")
     forms, reader = consistent(values, watch.select(F.col("canonical").alias("value")))
-    plain = F.udf(lambda k, t: reader.read(shown(t) if k == "host" else t))
-    spelt = watch.select("watch_id", "field_name", "canonical", plain("field_name", "canonical").alias("form"))
+    spelt = _formed(watch.select("field_name", F.col("canonical").alias("value")).distinct(), reader).withColumnRenamed("value", "canonical")
+    spelt = watch.select("watch_id", "field_name", "canonical").join(spelt, ["field_name", "canonical"])
     hits = forms.join(spelt, ["field_name", "form"]).filter("value <> canonical").select("field_name", "value", "watch_id")
     return values.join(hits, ["field_name", "value"]).select("field_name", "row_id", "watch_id")

@@ -3,7 +3,7 @@
 Weights go down a tree of domains, languages and sources. Where a branch can't give its part, what
 is short goes to its siblings first and to the branches of its ancestors only when these are full
 too. Each leaf gives whole epochs of its texts and, of one more epoch in a seeded order, the prefix
-that its budget has room for.
+whose size is nearest to what is left of its budget.
 """
 
 from __future__ import annotations
@@ -60,7 +60,8 @@ def mix(docs: DataFrame, targets: DataFrame, domain: Column, total_tokens: int |
     is an expression over ``source``, the one column that texts and targets have in common. Null
     languages are one language; texts without an id are left out. Texts without tokens are used in no epoch. ``total_tokens``: the
     size to reach; if none is given, the most at which every source that has texts can hold its
-    share. Shares can differ from their targets by one text for each leaf.
+    share. Shares can differ from their targets by half a text for each leaf, a text at the end of a prefix being
+    used where that brings the leaf nearer to its budget.
 
     A leaf's last epoch is ordered by a seeded hash in ``buckets`` ranges; sums of these decide all
     but one range, in which a running sum does, so that no leaf is ever brought together.
@@ -109,7 +110,9 @@ def mix(docs: DataFrame, targets: DataFrame, domain: Column, total_tokens: int |
     placed = keyed.join(edges, [*leaf, "_bucket"])
     edge = (F.col("_start") < F.col("rest")) & (F.col("_end") > F.col("rest"))
     inside = Window.partitionBy(*leaf, "_bucket").orderBy("_at", "doc_id")
-    cut = placed.filter(edge).withColumn("_more", (F.col("_start") + F.sum("n_tokens").over(inside) <= F.col("rest")).cast("int"))
+    over = F.col("_start") + F.sum("n_tokens").over(inside) - F.col("rest")
+    # Of the text that the budget ends in, as much must be inside as outside at least.
+    cut = placed.filter(edge).withColumn("_over", over).withColumn("_more", (2 * F.col("_over") <= F.col("n_tokens")).cast("int")).drop("_over")
     rest = placed.filter(~edge).withColumn("_more", (F.col("_end") <= F.col("rest")).cast("int"))
     uses = cut.unionByName(rest).withColumn("uses", F.col("full") + F.col("_more")).filter("uses > 0")
     return uses.select("doc_id", "domain", "lang", "source", "n_tokens", "uses")

@@ -81,6 +81,24 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
 
 
+#: Sources whose texts don't share a container in p7_apart: what is under suspicion, and what goes outside.
+_APART = [(a, b) for a in ("quarantine", "sandbox_logs") for b in ("partner_feed", "press_digest", "closed_cases")]
+
+
+def p7_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with sources that never share a container."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"), _APART)
+
+
+def p7_apart_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are then, and how many hold two sources that mustn't meet (none)."""
+    packed, specs = p7_apart(spark, sf_dir), table(spark, sf_dir, "pack_specs")
+    held = packed.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("spec_id", "container_id")
+    met = [F.bool_or(F.col("source") == a) & F.bool_or(F.col("source") == b) for a, b in _APART]
+    wrong = held.agg(F.coalesce(sum(m.cast("int") for m in met), F.lit(0)).alias("n")).groupBy("spec_id").agg(F.coalesce(F.count_if(F.col("n") > 0), F.lit(0)).alias("conflicts"))
+    return packing.packing_report(packed, specs).join(wrong, "spec_id")
+
+
 # Where the sources of the test tables belong in the tree of weights.
 _DOMAINS = {
     "quarantine": "mail", "user_reports": "mail", "mailing_lists": "mail", "analyst_notes": "desk", "sandbox_logs": "desk",
@@ -113,7 +131,7 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_consistent, p5_found, p5_restored, p6_found, p6_replaced, p7_packed, p7_report, p8_mixed, p8_report, p9_found, p9_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_consistent, p5_found, p5_restored, p6_found, p6_replaced, p7_packed, p7_report, p7_apart, p7_apart_report, p8_mixed, p8_report, p9_found, p9_share)}
 
 _WORDS = r"list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '')"
 SQL = {

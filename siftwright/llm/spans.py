@@ -231,7 +231,8 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, k: int = 25, m: in
     if not 1 <= m <= k:
         raise ValueError("m must be from 1 to k")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null and length(text) > 0")
-    hashes = texts.mapInArrow(_sketch(k, m), "mini long, doc long, places long")
+    # Two branches read these: as a stage, texts are taken apart for them once.
+    hashes = stage(texts.mapInArrow(_sketch(k, m), "mini long, doc long, places long"), "minimisers")
     wide = hashes.groupBy("mini").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.sum("places").alias("n")).filter("lo <> hi").select("mini", "n")
     shared_minis = hashes.join(wide, "mini")
     by_doc = shared_minis.groupBy("doc").agg(

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The vocabulary file, as ranks; a parameter of all that counts tokens.
@@ -35,14 +36,22 @@ def common_words(path: str) -> frozenset[str]:
         return frozenset(w for w in words if len(w) >= 4 and w.isalpha() and w.islower())
 
 
+def _shipped(spark: SparkSession, path: str) -> str:
+    """The name under which every worker finds a vocabulary file: Spark brings it to all machines."""
+    spark.sparkContext.addFile(path)
+    return path.rstrip("/").rpartition("/")[2]
+
+
 def with_tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, *keep, n_tokens): the size of each whole text; null and empty texts have 0.
 
     Rows are independent: nothing is shuffled, and only the size leaves the worker.
     """
 
+    name = _shipped(df.sparkSession, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoding(vocabulary)
+        one = encoding(SparkFiles.get(name))
         for b in batches:
             n = [len(one.encode_ordinary(t)) if t else 0 for t in b.column("_text").to_pylist()]
             cols = [b.column(i) for i in range(b.num_columns - 1)]

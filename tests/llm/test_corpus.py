@@ -81,3 +81,19 @@ def test_mix_reaches_its_shares(spark):
     other = mixing.mix(docs, targets, F.lit("d"), seed=2, total_tokens=4000).agg(F.sum(F.col("n_tokens") * F.col("uses"))).first()[0]
     assert abs(other - 4000) < 400
     assert mixing.mix(docs.limit(0), targets, F.lit("d")).count() == 0 and mixing.mix(docs, targets.limit(0), F.lit("d")).count() == 0
+
+
+def test_a_prefix_ends_where_it_is_nearest(spark):
+    """One text of 100 tokens at the budget's end is used if that is nearer than leaving it out."""
+    word = lambda n: " a" * n
+    docs = spark.createDataFrame([(i, word(100)[1:], "a", "en", None, None) for i in range(10)], DOCS)
+    targets = spark.createDataFrame([("a", 1.0, 3)], "source string, target_share double, max_repeats int")
+    for asked, want in ((240, 200), (260, 300), (1000, 1000), (1240, 1200), (1260, 1300)):
+        assert mixing.mix(docs, targets, F.lit("d"), total_tokens=asked).agg(F.sum(F.col("n_tokens") * F.col("uses"))).first()[0] == want
+
+
+def test_sources_that_must_not_meet(spark):
+    rows, specs = texts(), spark.createDataFrame([(1, 300)], "spec_id int, capacity_tokens int")
+    docs = spark.createDataFrame(rows, DOCS)
+    got = packing.pack(docs, specs, [("a", "b")]).join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("container_id").agg(F.collect_set("source").alias("s")).collect()
+    assert not any({"a", "b"} <= set(r.s) for r in got) and any("a" in r.s for r in got)
