@@ -60,11 +60,17 @@ _COMMENT, _BLANKS, _OFFSET = re.compile(r"\([^()]*\)"), re.compile(r"\s+"), re.c
 #: Bare numbers, by their digits: (units, of so many microseconds, from so many microseconds after 1970).
 _FROM_1601 = -11_644_473_600_000_000
 COUNTS = {9: (1, 60_000_000, _FROM_1601), 10: (1, 1_000_000, 0), 13: (1, 1000, 0), 16: (1, 1, 0), 18: (10, 1, _FROM_1601), 19: (1000, 1, 0)}
-#: Counts outside these instants aren't times (2023 to 2025).
-COUNT_RANGE = (1_672_531_200_000_000, 1_767_225_600_000_000)
+#: The years that bare counts may lie in, and that zones' letters are taken from, unless others are asked for: the first and the last.
+YEARS = (2023, 2025)
 DAY_US = 86_400_000_000
 
 
+@cache
+def year_begins(year: int) -> int:
+    """The first microsecond of a year in UTC."""
+    return (date(year, 1, 1).toordinal() - 719_163) * DAY_US
+
+
 @cache
 def zone_of(name: str) -> ZoneInfo | None:
     """A zone by its name, without regard to case; null where there is none."""
@@ -78,11 +84,11 @@ def zone_of(name: str) -> ZoneInfo | None:
 
 
 @cache
-def letters_of(name: str) -> dict[str, int]:
-    """The letters that a zone's clocks show in 2023 to 2025, in minutes from UTC."""
+def letters_of(name: str, years: tuple[int, int] = YEARS) -> dict[str, int]:
+    """The letters that a zone's clocks show in some years, in minutes from UTC."""
     zone, found = zone_of(name), {}
-    for week in range(0, 3 * 366, 7) if zone else ():
-        at = (datetime(2023, 1, 1, tzinfo=timezone.utc) + timedelta(days=week)).astimezone(zone)
+    for week in range(0, (years[1] - years[0] + 1) * 366, 7) if zone else ():
+        at = (datetime(years[0], 1, 1, tzinfo=timezone.utc) + timedelta(days=week)).astimezone(zone)
         if at.tzname().isalpha():
             found[at.tzname().lower()] = int(at.utcoffset().total_seconds() // 60)
     return found
@@ -103,7 +109,7 @@ def from_local(zone: str, local_us: int) -> int | None:
     return found[0] if len(found) == 1 else None
 
 
-def instant(text: str | None, zone: str | None) -> int | None:
+def instant(text: str | None, zone: str | None, years: tuple[int, int] = YEARS) -> int | None:
     """The microseconds since 1970 UTC that a text states, or null; ``zone`` is where it was written.
 
     Null, empty and unreadable texts, dates not in the calendar, zones nobody knows and local times
@@ -111,7 +117,7 @@ def instant(text: str | None, zone: str | None) -> int | None:
     microsecond are cut. Dotted dates have the day first, slashed ones the month; two-digit years
     are 20xx; ``-0000`` is UTC. Letters mean what they mean in ``zone``, else in mail headers. Bare
     numbers count seconds, milliseconds, microseconds or nanoseconds since 1970, or 100 ns or
-    minutes since 1601, by their digits and within ``COUNT_RANGE``.
+    minutes since 1601, by their digits, and are times only if these lie in ``years``.
     """
     if not text:
         return None
@@ -119,7 +125,7 @@ def instant(text: str | None, zone: str | None) -> int | None:
     if text.isdecimal():
         over, times, origin = COUNTS.get(len(text), (1, 0, 0))
         us = int(text) * times // over + origin
-        return us if COUNT_RANGE[0] <= us < COUNT_RANGE[1] else None
+        return us if year_begins(years[0]) <= us < year_begins(years[1] + 1) else None
     for pattern in FORMATS:
         if m := pattern.fullmatch(text):
             break
@@ -145,7 +151,7 @@ def instant(text: str | None, zone: str | None) -> int | None:
         return local - (1 if o[1] == "+" else -1) * minutes * 60_000_000 if int(o[2]) <= 15 and int(o[3] or 0) <= 59 else None
     if "/" in z:
         return from_local(g["z"], local)
-    minutes = letters_of(zone).get(z) if zone else None
+    minutes = letters_of(zone, years).get(z) if zone else None
     if minutes is None:
         minutes = MAIL_ZONES.get(z, 0 if len(z) == 1 and z != "j" else None)
     return None if minutes is None else local - minutes * 60_000_000
@@ -164,19 +170,19 @@ def source_zones(relays: DataFrame, host: str, zone: str) -> DataFrame:
     )
 
 
-def normalise(df: DataFrame, id_col: str, host: str, texts: list[Column], zones: DataFrame) -> DataFrame:
+def normalise(df: DataFrame, id_col: str, host: str, texts: list[Column], zones: DataFrame, years: tuple[int, int] = YEARS) -> DataFrame:
     """(id, utc_us) of each row with a text that states an instant; the first such text decides.
 
     ``zones`` comes from :func:`source_zones`. Rows of null or unknown hosts keep texts that carry a
     zone. Repeated rows give repeated results; an empty table gives an empty one. Only the id, the
-    host and the texts are read; the lookup is broadcast by Spark only where it is known to be small.
+    host and the texts are read; ``years`` are those of :func:`instant`. The lookup is broadcast by Spark only where it is known to be small.
     """
 
     @F.pandas_udf("long")
     def first_instant(zone: pd.Series, *parts: pd.Series) -> pd.Series:
         out = []
         for z, *row in zip(zone, *parts, strict=True):
-            out.append(next((u for t in row if (u := instant(t, z)) is not None), None))
+            out.append(next((u for t in row if (u := instant(t, z, years)) is not None), None))
         return pd.Series(out, dtype="Int64")
 
     cols = [f"_t{i}" for i in range(len(texts))]

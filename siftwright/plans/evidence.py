@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwright.functions import domains, filetype, ids, ip, similarity
 from siftwright.functions import text as tx
 from siftwright.functions import urls as ur
-from siftwright.operators import archives, imitation
+from siftwright.operators import archives, imitation, mailauth
 from siftwright.operators.timestamps import after_last_semicolon, normalise, source_zones
 from siftwright.plans import case, casefile, detect, detect_files, enrich, indicators, rules, score, sinks
 from siftwright.session import new_path, stage, table
@@ -535,25 +535,81 @@ def risky_names(s, d):
     return detect_files.attachments(a).select(F.col("report_id").cast("long").alias("p_partkey"), "code")
 
 
-@query()
+_ROLES_SQL = f"""ri AS (SELECT report_id, 0 AS seq, 'email-addr' AS type, trim(from_address) AS value, 'from' AS role, '' AS context FROM messages UNION ALL SELECT report_id, 0, 'domain', CASE WHEN contains(from_address, '@') THEN {_DOM('from_address')} END, 'from-domain', '' FROM messages
+ UNION ALL SELECT report_id, 1, 'email-addr', trim(return_path), 'return-path', '' FROM messages UNION ALL SELECT report_id, 1, 'domain', CASE WHEN contains(return_path, '@') THEN {_DOM('return_path')} END, 'return-path-domain', '' FROM messages
+ UNION ALL SELECT report_id, 3, 'email-addr', trim(x), 'reply-to', '' FROM (SELECT report_id, unnest(reply_to) AS x FROM messages) UNION ALL SELECT report_id, 3, 'domain', CASE WHEN contains(x, '@') THEN {_DOM('x')} END, 'reply-to-domain', '' FROM (SELECT report_id, unnest(reply_to) AS x FROM messages)
+ UNION ALL SELECT report_id, 4, 'subject', trim(subject), 'subject', '' FROM messages UNION ALL SELECT report_id, 5, 'message-id', trim(message_id), 'message-id', '' FROM messages
+ UNION ALL SELECT report_id, 6, CASE WHEN contains(from_ip, ':') THEN 'ipv6' ELSE 'ipv4' END, trim(from_ip), 'received-ip', substr(concat_ws(' ', 'hop', idx, 'from', from_host), 1, 200) FROM hops WHERE from_ip IS NOT NULL AND NOT ip_is_private
+ UNION ALL SELECT report_id, 8, 'url', trim(url), 'link', substr(array_to_string(sources, ', '), 1, 200) FROM urls WHERE scheme IN ('http', 'https', 'ftp', '')
+ UNION ALL SELECT report_id, 9, CASE WHEN regexp_matches(host, '^\\d+\\.\\d+\\.\\d+\\.\\d+$') THEN 'ipv4' ELSE 'domain' END, trim(regexp_replace(host, '^\\[|\\]$', '', 'g')), 'link-host', '' FROM urls),
+ rf AS (SELECT *, row_number() OVER (PARTITION BY report_id, type, CASE WHEN type IN ('url', 'subject') THEN value ELSE lower(value) END, role ORDER BY seq, value, context) AS n FROM ri WHERE value <> ''), roles AS (SELECT report_id, seq, type, value, role, context FROM rf WHERE n = 1)"""
+_SAFE = lambda x: f"CASE WHEN regexp_matches({x}, '^[=+@\\t\\r-]') THEN '''' || {x} ELSE {x} END"
+
+
+@query(f"WITH {_ROLES_SQL} SELECT {_SAFE('report_id')} AS report_id, seq, {_SAFE('type')} AS type, {_SAFE('value')} AS value, {_SAFE('role')} AS role, {_SAFE('context')} AS context FROM roles")
 def ioc_table(s, d):
     """All indicators, in the form that is written as CSV."""
     return sinks.csv_rows(_indicators(s, d))
 
 
-@query()
+_TEXT = "type || ' seen as ' || role || ' in a message assessed as suspicious' || CASE WHEN context <> '' THEN ' (' || context || ')' ELSE '' END"
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (position(substr(h, 17, 1) IN '0123456789abcdef') - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+_PATHS = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in sinks.STIX_PATHS.items()) + " END"
+
+
+@query(f"""WITH {_ROLES_SQL}, st AS (SELECT *, split_part(report_id, '-', 1) AS sha, {_PATHS} AS path FROM roles), sh AS (SELECT *, sha1(unhex('6b1b1e8e3f6f4c5e9d076a2f0b9c1d11') || encode(type || '|' || value || '|' || role || '|' || sha)) AS h FROM st WHERE path IS NOT NULL)
+ SELECT report_id, 'indicator--' || {_UUID} AS id, substr(role || ': ' || value, 1, 250) AS name, {_TEXT} AS description, '[' || path || ' = ''' || replace(replace(value, '\\', '\\\\'), '''', '\\''') || ''']' AS pattern, sha AS evidence FROM sh""")
 def stix_objects(s, d):
-    """A STIX object for each indicator."""
+    """A STIX object for each indicator, read again field by field."""
     i = _indicators(s, d).withColumn("verdict", F.lit("suspicious")).withColumn("evidence_sha256", F.substring_index("report_id", "-", 1))
-    return sinks.stix_objects(i, "2025-01-01T00:00:00.000Z")
+    o = sinks.stix_objects(i, "2025-01-01T00:00:00.000Z")
+    at = lambda path: F.get_json_object("object", path)
+    return o.select("report_id", "id", at("$.name").alias("name"), at("$.description").alias("description"), at("$.pattern").alias("pattern"), at("$.external_references[0].external_id").alias("evidence"))
 
 
-@query()
+@query(f"""WITH {_ROLES_SQL}, mk AS (SELECT *, CASE WHEN type IN ('ipv4', 'ipv6') AND role LIKE '%-host' THEN 'ip-dst' WHEN type IN ('ipv4', 'ipv6') THEN 'ip-src' WHEN type = 'email-addr' AND role IN ('from', 'return-path') THEN 'email-src' WHEN type = 'email-addr' AND role = 'reply-to' THEN 'email-reply-to' WHEN type = 'subject' THEN 'email-subject'
+ WHEN type = 'message-id' THEN 'email-message-id' WHEN type IN ('url', 'domain') THEN type END AS kind FROM roles) SELECT report_id, kind AS type, CASE WHEN kind IN ('url', 'domain', 'ip-src', 'ip-dst') THEN 'Network activity' ELSE 'Payload delivery' END AS category, value, type NOT IN ('subject', 'message-id') AS to_ids,
+ role || '; message suspicious' || CASE WHEN context <> '' THEN '; ' || context ELSE '' END AS comment, '5' AS distribution FROM mk WHERE kind IS NOT NULL""")
 def misp_attributes(s, d):
     """A MISP attribute for each indicator."""
     return sinks.misp_attributes(_indicators(s, d).withColumn("verdict", F.lit("suspicious")))
 
 
+# --- sender authentication, over recordings made from the tables --------------------------------------------------------
+
+_DM_SQL = f"""dm AS (SELECT report_id, delivery_id, {_DOM('from_address')} AS fd, {_DOM('return_path')} AS rd FROM messages), do_ AS (SELECT *, {_org('fd')} AS fo FROM dm), rec AS (SELECT DISTINCT fo AS name, len(fo) % 5 AS k FROM do_ WHERE fo IS NOT NULL),
+ pol AS (SELECT name, CASE k WHEN 1 THEN ['v=DMARC1; p=reject; sp=quarantine'] WHEN 2 THEN ['v=DMARC1; p=none; adkim=s'] WHEN 3 THEN ['v=DMARC1; p=reject', 'v=DMARC1; p=none'] WHEN 4 THEN [] END AS a, CASE k WHEN 1 THEN 'reject' WHEN 2 THEN 'none' WHEN 3 THEN 'reject' END AS p, k FROM rec WHERE k > 0)"""
+
+
+@query(f"""WITH {_DM_SQL}, j AS (SELECT d.*, own.a AS oa, own.name IS NOT NULL AS seen, CASE WHEN len(own.a) > 0 THEN own.name WHEN len(o.a) > 0 THEN o.name END AS pd, CASE WHEN len(own.a) > 0 THEN own.k WHEN len(o.a) > 0 THEN o.k END AS k, CASE WHEN len(own.a) > 0 THEN own.p WHEN len(o.a) > 0 THEN o.p END AS p FROM do_ d LEFT JOIN pol own ON own.name = fd LEFT JOIN pol o ON o.name = fo),
+ al AS (SELECT *, (delivery_id % 2 = 0 AND coalesce(CASE WHEN k = 2 THEN rd = fd ELSE {_org('rd')} = fo END, false)) OR (delivery_id % 3 = 0 AND coalesce('mail.' || fo IS NOT NULL, false)) AS aligned FROM j)
+ SELECT report_id, CASE WHEN fd IS NULL OR fd = '' THEN 'permerror' WHEN pd IS NULL AND NOT seen THEN 'temperror' WHEN pd IS NULL THEN 'none' WHEN k = 3 THEN 'permerror' WHEN aligned THEN 'pass' ELSE 'fail' END AS result, CASE WHEN pd IS NOT NULL THEN CASE WHEN k = 1 AND pd <> fd THEN 'quarantine' ELSE p END END AS policy, pd AS policy_domain FROM al""")
+def dmarc(s, d):
+    """Policies by the length of a domain's name; every second message is signed by its return path's domain, every third sent by a host of its sender's organisation."""
+    m = table(s, d, "messages").withColumn("fd", domains.domain_of(F.col("from_address")))
+    org = domains.org_domain(s)
+    names = m.select(org(F.col("fd")).alias("name")).filter("name is not null").distinct().withColumn("k", F.length("name") % 5).filter("k > 0")
+    texts = [("v=DMARC1; p=reject; sp=quarantine",), ("v=DMARC1; p=none; adkim=s",), ("v=DMARC1; p=reject", "v=DMARC1; p=none"), ()]
+    answers = F.get(F.array(*[F.array(*map(F.lit, t)).cast("array<string>") for t in texts]), F.col("k") - 1)
+    dns = names.select(F.concat(F.lit("_DMARC."), "name").alias("name"), F.lit("TXT").alias("type"), answers.alias("answers"), F.lit(None).cast("string").alias("error"))
+    signed = m.filter("delivery_id % 2 = 0").select("report_id", domains.domain_of(F.col("return_path")).alias("domain"), F.lit("pass").alias("result")).filter("domain is not null")
+    sent = m.filter("delivery_id % 3 = 0").select("report_id", F.concat(F.lit("mail."), org(F.col("fd"))).alias("domain"), F.lit("pass").alias("result")).filter("domain is not null")
+    return mailauth.dmarc(m, signed, sent, dns)
+
+
+@query(f"""WITH o AS (SELECT report_id, arg_min(from_ip, idx) AS ip FROM hops WHERE from_ip IS NOT NULL AND NOT ip_is_private GROUP BY report_id), i AS (SELECT report_id, ip, CASE WHEN contains(return_path, '@') THEN lower(regexp_extract(return_path, '@([^@]*)$', 1)) END AS domain FROM messages JOIN o USING (report_id))
+ SELECT report_id, ip, domain, CASE WHEN domain IS NULL THEN 'none' WHEN len(domain) % 3 = 0 THEN 'temperror' WHEN regexp_matches(ip, '^8\\.|^9\\.|^1[0-9]\\.') THEN 'pass' WHEN len(domain) % 3 = 1 THEN 'fail' ELSE 'softfail' END AS result FROM i""")
+def spf(s, d):
+    """Policies by the length of a domain's name, of which a third wasn't recorded; networks are 8.0.0.0 to 19.255.255.255, by way of an include."""
+    inputs = detect.origins(table(s, d, "hops")).select("report_id", "ip").join(table(s, d, "messages").select("report_id", F.col("return_path").alias("mail_from")), "report_id").withColumn("helo", F.lit(None).cast("string"))
+    domain = F.lower(F.substring_index("mail_from", "@", -1))
+    names = inputs.filter(F.contains("mail_from", F.lit("@"))).select(domain.alias("name")).distinct().withColumn("k", F.length("name") % 3).filter("k > 0")
+    text = F.concat(F.lit("v=spf1 ip4:8.0.0.0/7 include:nets.test "), F.when(F.col("k") == 1, "-all").otherwise("~all"))
+    dns = names.select("name", F.lit("TXT").alias("type"), F.array(text).alias("answers"), F.lit(None).cast("string").alias("error"))
+    nets = s.createDataFrame([("nets.test", "TXT", ["v=spf1 ip4:10.0.0.0/7 ip4:12.0.0.0/6 ip4:16.0.0.0/6 -all"], None)], "name string, type string, answers array<string>, error string")
+    return mailauth.spf(inputs, dns.unionByName(nets)).select("report_id", "ip", "domain", "result")
+
+
 # --- the parse stage, streams and archives, on bytes made from the tables -----------------------------------------------
 
 _PLAIN = r"^[\x21-\x7E][\x20-\x7E]*[\x21-\x7E]$"

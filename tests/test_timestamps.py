@@ -65,3 +65,11 @@ def test_first_text_that_states_an_instant_decides(spark):
     got = normalise(df, "hop_id", "by_host", [F.col("ts"), after_last_semicolon(F.col("raw"))], zones).collect()
     assert sorted((r.hop_id, r.utc_us) for r in got) == [(1, US(2023, 1, 9, 9)), (1, US(2023, 1, 9, 9)), (2, US(2023, 1, 9, 10))]
     assert normalise(df.limit(0), "hop_id", "by_host", [F.col("ts")], zones).count() == 0
+
+
+def test_years_are_a_parameter():
+    from siftwright.operators.timestamps import instant, year_begins
+
+    assert year_begins(2023) == 1_672_531_200_000_000 and year_begins(2026) == 1_767_225_600_000_000
+    assert instant("1000000000", None) is None and instant("1000000000", None, (2001, 2001)) == 1_000_000_000_000_000
+    assert instant("1672531200", None) == 1_672_531_200_000_000 and instant("1672531200", None, (2000, 2010)) is None
