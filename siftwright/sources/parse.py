@@ -326,9 +326,9 @@ def parsed(evidence: DataFrame, timeout: float | None = None, nesting: int = NES
             for r in f.to_dict("records"):
                 kw = {("fmt" if k == "msg_format" else k): r[k] for k in given if r[k] is not None}
                 if r["unread"] is not None:
-                    out.append(parse_message(r["path"], b"", **kw)[0] | {"sha256": None, "md5": None, "size_bytes": None, "error": r["unread"], "dkim": [], "arc": None})
+                    out.append(parse_message(r["path"], b"", **kw)[0] | {"sha256": None, "md5": None, "size_bytes": None, "error": r["unread"], "header_count": None})
                 elif r["_size"] > largest:
-                    out.append(parse_message(r["path"], b"", **kw)[0] | {"sha256": r["_sha"], "md5": None, "size_bytes": r["_size"], "error": f"too large: {r['_size']} bytes"})
+                    out.append(parse_message(r["path"], b"", **kw)[0] | {"sha256": r["_sha"], "md5": None, "size_bytes": r["_size"], "error": f"too large: {r['_size']} bytes", "header_count": None})
                 else:
                     out += _in_time(timeout, r["path"], bytes(r["content"]), nesting=nesting, now=now, **kw)
             full = [{k: r.get(k) for k in TOP} for r in out]
