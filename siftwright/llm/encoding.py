@@ -122,10 +122,14 @@ def _pass(text: str, view: str) -> tuple[str, int]:
 
     def decoded(m: re.Match) -> str:
         nonlocal taken
-        beside = m[1] or len(m[0]) == 2 and m[0][1] == "\xa0" and view in OF_SCRIPTS and not re.match("[A-Za-z]", text[max(m.start() - 1, 0) :])
-        if beside and (not sure or view in OF_SCRIPTS[1:]):
-            return m[0]
         out = bytes(0xA0 if c == " " else table[c] for c in m[0]).decode("utf-8")
+        if m[1] and not sure:
+            return m[0]
+        if view in OF_SCRIPTS and len(m[0]) == 2 and m[0][1] in " \xa0":
+            # A letter and a blank: in the middle of a Latin word, or an accented letter by itself, or beside other spans.
+            alone = view != "cp1251" or not (sure or "À" <= out <= "ÿ" or re.match("[A-Za-z]", text[max(m.start() - 1, 0) :]))
+            if alone:
+                return m[0]
         if not _likely(out, view == "latin"):
             return m[0]
         taken += len(m[0])
