@@ -241,7 +241,7 @@ def _emails(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
 
 def _phones(text: str) -> Iterator[tuple[int, int, str, list[str]]]:
     for m in _NUMBERS.finditer(text):
-        if len(m[0]) < 7 or sum(map(str.isdigit, m[0])) < 7:
+        if len(m[0]) < 7 or sum(map(str.isdigit, m[0])) < 7 or _IP.fullmatch(m[0]):
             continue
         groups = [(g.start() + m.start(), g.end() + m.start(), len(g[0].lstrip("+("))) for g in _GROUP.finditer(m[0])]
         for i in range(len(groups)):
