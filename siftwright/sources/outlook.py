@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 
 from siftwright.operators.ole import Broken, Compound, unpack_rtf
 
-DEEPEST, MOST_ATTACHMENTS = 5, 500
+#: Levels of messages inside of messages; a file can hold more only by the length of its names.
+DEEPEST = 50
 # MAPI property numbers.
 SUBJECT, HEADERS, SENDER_NAME, SENDER_EMAIL, SENDER_SMTP, SENT_BY_SMTP = 0x0037, 0x007D, 0x0C1A, 0x0C1F, 0x5D01, 0x5D02
 BODY, HTML, RTF, MESSAGE_ID, IN_REPLY_TO, CODEPAGE = 0x1000, 0x1013, 0x1009, 0x1035, 0x1042, 0x3FFD
@@ -116,7 +117,7 @@ def convert(cf: Compound, at: tuple[str, ...] = (), head: int = 32, depth: int =
         out.set_content(re.sub(r"\\[a-z]+-?\d* ?|[{}]|\\'..", "", rich.decode("latin-1")) if rich else "")
         if rich:
             out.add_attachment(rich, maintype="text", subtype="rtf", filename="body.rtf")
-    for a in _below(cf, at, "__attach_version1.0_#")[:MOST_ATTACHMENTS]:
+    for a in _below(cf, at, "__attach_version1.0_#"):
         q = Properties(cf, a, 8)
         if q.number(METHOD) == 5:
             inner = (*a, f"__substg1.0_{DATA:04X}000d")
