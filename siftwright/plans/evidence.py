@@ -395,10 +395,11 @@ def only_new_anti(s, d):
     return case.only_new(table(s, d, "orders").select("o_custkey"), old, "o_custkey")
 
 
-@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+@query("SELECT user_id, epoch_us(max(ts)) AS ts_us, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def newest_entry(s, d):
     """The last event of each user."""
-    return case.newest(table(s, d, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"])
+    e = table(s, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id")
+    return case.newest(e, "user_id", ["ts_us", "event_id"])
 
 
 @query("SELECT DISTINCT lower(sha256) AS sha256 FROM messages WHERE sha256 IS NOT NULL AND lower(sha256) NOT IN (SELECT lower(sha256) FROM messages WHERE sha256 IS NOT NULL AND batch_id < 'b2023-06')")
