@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The families and their patterns.
+# The families and their patterns, which scores depend on.
 FAMILIES = {
-    "downloader": r"DownloadString|DownloadFile|DownloadData|Invoke-WebRequest|\bwget\b|\bcurl\b|Start-BitsTransfer|bitsadmin\s+/transfer|certutil\s+.*-urlcache|XMLHTTP|WinHttp|URLDownloadToFile|Net\.WebClient|Invoke-RestMethod|\birm\b",
+    "downloader": r"DownloadString|DownloadFile|DownloadData|Invoke-WebRequest|\biwr\b|\bwget\b|curl\s+-|Start-BitsTransfer|bitsadmin\s+/transfer|certutil\s+.*-urlcache|XMLHTTP|WinHttp|URLDownloadToFile|Net\.WebClient|Invoke-RestMethod|\birm\b",
     "execution": r"Invoke-Expression|\bIEX\b|Start-Process|WScript\.Shell|Shell\.Application|ShellExecute|\.Run\s*\(|\.Exec\s*\(|cmd(?:\.exe)?\s*/[ck]|mshta|rundll32|regsvr32|wmic\s+process|powershell(?:\.exe)?|pwsh|cscript|wscript|msiexec\s+/[iq]|schtasks\s+/create",
     "obfuscation": r"FromBase64String|-e(?:nc(?:odedcommand)?)?\s+[A-Za-z0-9+/=]{40,}|\beval\s*\(|unescape\s*\(|String\.fromCharCode|\[char\]\s*\d+|-join\s*\(|\bchr\s*\(\s*\d+\s*\)\s*&|#@~\^|StrReverse|\^.\^.\^|-bxor|\[Convert\]::",
     "persistence": r"CurrentVersion\\Run|schtasks|New-ScheduledTask|Startup\\|New-Service|sc\s+create|Register-ScheduledJob|HKCU:|HKLM:",
